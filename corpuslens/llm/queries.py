@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, langid, mixing, packing, pii, quality, substring, toxicity
+from . import ann, langid, media, mixing, packing, pii, quality, substring, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.as_media(table(spark, sf_dir, "documents"), with_media=False).drop("media")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
