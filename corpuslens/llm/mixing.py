@@ -66,7 +66,7 @@ def apportion(parties: DataFrame, group: list[str], votes: str, seats: Column, o
     return joined.select(*[F.col(f"p.{c}").alias(c) for c in names], (F.col("p._won") + F.coalesce(F.col("x._more"), F.lit(0))).cast("long").alias(out))
 
 
-def mix_rows(slim: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, seed: int = SEED, block_words: int = 64, shard_docs: int = 20_000) -> DataFrame:
+def mix_rows(slim: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, seed: int = SEED, block_words: int = 64, shard_docs: int = 2_000) -> DataFrame:
     """(doc_id, source, size, ...) -> the same rows with source_size, target, whole rounds, and the run taken of the last.
 
     Adds `rounds` (times that the whole document is taken) and `spans` (word ranges [from, to) taken once more)."""
