@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, langid, media, mixing, packing, pii, quality, substring, toxicity
+from . import ann, jaccard, langid, media, mixing, packing, pii, quality, substring, toxicity
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.as_media(table(spark, sf_dir, "documents"), with_media=False).drop("media")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
