@@ -4,8 +4,8 @@ A bounded sample of vectors gives a neighbour graph; recursive balanced bisectio
 learns which part a vector's neighbours lie in. Every row is indexed under its likeliest part, a query is routed to
 its several likeliest parts, and what is found there is ranked by the exact inner product in double precision.
 
-Bounds: the fit sees at most `sample` vectors (4096; documented parameter). The number of parts routed to is the least
-that reaches `aim` recall on the sample. Rows are never dropped: parts are cut into blocks of at most `block` rows.
+Bounds: the fit sees at most `sample` vectors (4096; documented parameter). The number of parts grows with the root of the
+rows; the number of those routed to is the least that reaches `aim` recall on the sample. Rows are never dropped: parts are cut into blocks of at most `block` rows.
 
 Defined results: vectors that are null, zero, of another length than the commonest, or hold null or non-finite
 components take no part; neither do null ids. Rows of one id are one candidate (its smallest vector). A query with
@@ -164,7 +164,7 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(arr.flatten(), np.float64).reshape(len(arr), -1)
 
 
-def search(vectors: DataFrame, query_every: int = 20, k: int = 20, sample: int = 4096, rows_per_part: int = 1000, least_sample_per_part: int = 32, aim: float = 0.97, block: int = 4096, query_block: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding", seed: int = 7) -> DataFrame:
+def search(vectors: DataFrame, query_every: int = 20, k: int = 20, sample: int = 4096, root_per_part: int = 14, least_sample_per_part: int = 32, aim: float = 0.95, block: int = 4096, query_block: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding", seed: int = 7) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by `query_every`."""
     spark = vectors.sparkSession
     every = cut(clean(vectors, vec_id, embedding).withColumn("dim", F.size("v")))
@@ -178,7 +178,7 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, sample: int =
     rows = every.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("nth") <= k + 1).drop("nth")
     fitted = np.array([r["v"] for r in rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).collect()], np.float64)
     fitted = np.unique(fitted, axis=0)
-    parts = max(1, min(total // rows_per_part, len(fitted) // least_sample_per_part))
+    parts = max(1, min(int(total**0.5) // root_per_part, len(fitted) // least_sample_per_part))
     router, probes = train(fitted, parts, k, aim, seed)
     model = spark.sparkContext.broadcast(router)
 
