@@ -93,7 +93,7 @@ class Masker:
             ("ip", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)", self.ip),
             ("ssn", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])", self.ssn),
             ("phone", r"(?<![\w+])\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)|(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d|\.\d)|(?<![\w+(])\(\d{3}\) ?\d{3}[\-. ]\d{4}(?!\d)|(?<![\d\-.])\d{3}[\-. ]\d{3}[\-. ]\d{4}(?![\d\-])", self.phone),
-            ("card", r"(?<![\dA-Za-z])\d(?:[ \-]?\d){12,18}(?![\dA-Za-z])", self.card),
+            ("card", r"(?<![\dA-Za-z])(?:\d{4}(?P<gap>[ \-])\d{4}(?P=gap)\d{4}(?P=gap)\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{13,19})(?![\dA-Za-z])", self.card),
         ]
         self.kinds = [k[0] for k in kinds]
         self.by = {n: f for n, _, f in kinds}
@@ -141,7 +141,10 @@ class Masker:
         t = s.replace(" ", "")
         number = lambda u: int("".join(str(int(c, 36)) for c in u))
         if not 15 <= len(t) <= 34 or number(t[4:] + t[:4]) % 97 != 1:
-            return None
+            # A word behind the number may have been taken for its last group.
+            head, gap, tail = s.rpartition(" ")
+            head = self.iban(head) if gap else None
+            return None if head is None else head + gap + tail
         # Letters and digits are permuted apart, each in its own places.
         body = t[4:]
         d, a = "".join(c for c in body if c.isdigit()), "".join(c for c in body if c.isalpha())
