@@ -229,9 +229,9 @@ def link_nodes(docs: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
 
     rows = docs.mapInArrow(second, "sig long, node long, salt int")
     bucket = Window.partitionBy("sig", "salt").orderBy("node")
-    rows = rows.withColumn("least", F.first("node").over(bucket)).withColumn("_next", F.lead("node").over(bucket)).withColumn("_last", F.lag("node").over(bucket))
-    rows = rows.filter(F.coalesce(F.col("_next") != F.col("node"), F.lit(False)) | (F.col("least") != F.col("node")))
-    rows = rows.filter(F.col("_last").isNull() | (F.col("_last") != F.col("node")))
+    whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("least", F.first("node").over(bucket)).withColumn("_most", F.last("node").over(whole)).withColumn("_last", F.lag("node").over(bucket))
+    rows = rows.filter((F.col("least") != F.col("_most")) & (F.col("_last").isNull() | (F.col("_last") != F.col("node"))))
     buckets = cut(rows.select("sig", "node", "least"))
     sizes = slim.select("node", F.col("n_shingles").alias("n")).distinct()
     names = buckets.select("node").distinct()
