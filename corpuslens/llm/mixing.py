@@ -124,19 +124,22 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows keep the columns of `docs`; n_chars follows the text. Words of a cut row are joined by one space."""
     names = docs.columns
-    plan = cut(docs.select("doc_id", "source", n_words().alias("size"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("text_id")))
-    plan = mix_rows(plan, **options).filter("taken > 0")
+    text_id = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    plan = mix_rows(cut(docs.select("doc_id", "source", n_words().alias("size"), text_id.alias("text_id"))), **options).filter("taken > 0")
     # Repeated rows (same id, source and text) are told apart by their number.
     nth = Window.partitionBy("doc_id", "source", "text_id").orderBy(F.lit(1))
-    left = docs.withColumn("text_id", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).withColumn("_n", F.row_number().over(nth))
-    right = plan.withColumn("_n", F.row_number().over(nth)).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_id").alias("_t"), F.col("_n").alias("_m"), "rounds", "spans", "size")
-    both = left.join(right, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("text_id") == F.col("_t")) & (F.col("_n") == F.col("_m")))
-    words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    whole = F.array_repeat(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")), F.col("rounds").cast("int"))
-    rows = both.withColumn("_span", F.explode(F.concat(whole, F.col("spans"))))
-    part = F.array_join(F.slice(words, (F.col("_span.a") + 1).cast("int"), (F.col("_span.b") - F.col("_span.a")).cast("int")), " ")
-    uncut = (F.col("_span.a") == 0) & (F.col("_span.b") == F.col("size"))
-    rows = rows.withColumn("text", F.when(uncut, F.col("text")).otherwise(part))
+    right = plan.withColumn("nth", F.row_number().over(nth)).select(F.struct("doc_id", "source", "text_id", "nth", "rounds", "spans", "size").alias("plan"))
+    left = docs.select(F.struct("*").alias("row"), "doc_id", "source", text_id.alias("text_id")).withColumn("nth", F.row_number().over(nth))
+    same = F.col("doc_id").eqNullSafe(F.col("plan.doc_id")) & F.col("source").eqNullSafe(F.col("plan.source")) & (F.col("text_id") == F.col("plan.text_id")) & (F.col("nth") == F.col("plan.nth"))
+    both = left.join(right, same).select("row", "plan")
+    whole = F.array_repeat(F.struct(F.lit(0).cast("long").alias("a"), F.col("plan.size").alias("b")), F.col("plan.rounds").cast("int"))
+    rows = both.withColumn("span", F.explode(F.concat(whole, F.col("plan.spans"))))
+    words = F.filter(F.split(F.col("row.text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    part = F.array_join(F.slice(words, (F.col("span.a") + 1).cast("int"), (F.col("span.b") - F.col("span.a")).cast("int")), " ")
+    uncut = (F.col("span.a") == 0) & (F.col("span.b") == F.col("plan.size"))
+    out = {c: F.col("row").getField(c) for c in names}
+    out["text"] = F.when(uncut, F.col("row.text")).otherwise(part)
+    rows = rows.select(*[v.alias(c) for c, v in out.items()])
     if "n_chars" in names:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*names)
+    return rows
