@@ -51,8 +51,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, out: Column,
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(found, pa.binary())], ["doc_id", "y", "f"])
 
     got = rows.mapInArrow(run, "doc_id long, y int, f binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], bytes(r["f"])))
-    return [np.frombuffer(bytes(r["f"]), "<u4").astype(np.int64) for r in got], np.array([r["y"] for r in got], float)
+    got.sort(key=lambda r: (r["doc_id"], r["f"]))
+    return [np.frombuffer(r["f"], "<u4") for r in got], np.array([r["y"] for r in got], float)
 
 
 def platt(margin: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:

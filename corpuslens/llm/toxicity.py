@@ -4,7 +4,7 @@ Words are lower-cased (A-Z) and lose ASCII punctuation at either end. A text's f
 (and of longer words' first four bytes), its pairs of neighbours and its pairs with one word between. Every coordinate has its own rate; L1 keeps most weights
 at exactly zero, so that only the few others are broadcast.
 
-Bounds: fitted on at most `limit` labelled documents (16000; documented parameter), several times over. Defined results:
+Bounds: fitted on at most `limit` labelled documents (8000; documented parameter), several times over. Defined results:
 empty or null text has no features, so its score is the sigmoid of the intercept; without training rows, or with one
 class only, every score is the class share (one half without rows); labels other than 0 and 1 are not learned.
 """
@@ -104,7 +104,7 @@ class Model:
         return self.bias + np.bincount(r, weights=dense[f].astype(float), minlength=len(offsets) - 1)
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = 16000, seed: int = 6) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = 8000, seed: int = 6) -> DataFrame:
     """doc_id, held_out, score, predicted. Learns from rows whose crc32(doc_id) mod 3 is not 1."""
     out = held_out(3, 1)
     model = docs.sparkSession.sparkContext.broadcast(Model(*training_sample(docs, labels, label, out, extract, limit, seed), seed=seed))
