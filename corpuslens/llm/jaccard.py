@@ -8,8 +8,8 @@ indexed). As the numbers sum to more than the pair may differ by, some segment o
 segments get 0 or 2 is decided by what they cost: rows to index, and pairs that collide, counted over all sets on a
 1/512 slice of the signature space. Candidates are verified on the sets themselves.
 
-Sets that are equal are one node from the start. In a bucket of equal signatures each node is first tried with the
-bucket's least node only; nodes that are then connected need no further test, and all others in a bucket are tried
+Sets that are equal are one node from the start. In a bucket of equal signatures each node is first tried only with
+the one that shares most signatures with others (in a group of copies, the likely original); nodes that are then connected need no further test, and all others in a bucket are tried
 pair by pair, so that no link is lost and groups of thousands don't cost thousands squared. Signatures that occur
 often within one task's texts are dealt out again (salted), their least nodes meeting in the plain bucket.
 
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_ASCII, cut, flat, mix, slices, windows, word_hashes, word_spans
@@ -161,19 +161,19 @@ def components(edges: DataFrame) -> DataFrame:
     def down(e: DataFrame) -> DataFrame:
         return e.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    e, before = cut(down(edges)), None
+    e = cut(down(edges))
     while True:
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        # Done when every node has one parent and no parent has one itself.
+        n, distinct = e.agg(F.count("*"), F.count_distinct("a")).first()
+        if n == distinct and e.join(e.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             break
-        before = state
         e = cut(down(stars(down(stars(e, True)), False)))
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
 def link_nodes(docs: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, node) of every row, and the verified links (a, b) that connect different nodes."""
+    """(doc_id, n_shingles, node) of every row, and (node, root) of the nodes that verified links connect."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = F.coalesce(F.octet_length("text"), F.lit(0))
@@ -216,24 +216,26 @@ def link_nodes(docs: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
                     seen.add(x)
                     fresh[i] = True
             keep = fresh[row]
-            sig, node = sig[keep].view(np.int64), np.array(nodes, np.int64)[row[keep]]
+            sig, node, n = sig[keep].view(np.int64), np.array(nodes, np.int64)[row[keep]], np.diff(edges)[row[keep]].astype(np.int32)
             order = np.lexsort((node, sig))
-            sig, node = sig[order], node[order]
+            sig, node, n = sig[order], node[order], n[order]
             start = np.ones(len(sig), bool)
             start[1:] = sig[1:] != sig[:-1]
             group = np.cumsum(start) - 1
             often = np.bincount(group)[group] > 8 if len(sig) else np.zeros(0, bool)
             salt = np.where(often, 1 + (number * 7919 + (int(node[0]) if len(node) else 0)) % 4096, 0)
             lead = often & start
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig, sig[lead]])), pa.array(np.concatenate([node, node[lead]])), pa.array(np.concatenate([salt, np.zeros(int(lead.sum()), np.int64)]).astype(np.int32))], ["sig", "node", "salt"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig, sig[lead]])), pa.array(np.concatenate([node, node[lead]])), pa.array(np.concatenate([n, n[lead]])), pa.array(np.concatenate([salt, np.zeros(int(lead.sum()), np.int64)]).astype(np.int32))], ["sig", "node", "n", "salt"])
 
-    rows = docs.mapInArrow(second, "sig long, node long, salt int")
+    rows = docs.mapInArrow(second, "sig long, node long, n int, salt int")
     bucket = Window.partitionBy("sig", "salt").orderBy("node")
     whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("least", F.first("node").over(bucket)).withColumn("_most", F.last("node").over(whole)).withColumn("_last", F.lag("node").over(bucket))
     rows = rows.filter((F.col("least") != F.col("_most")) & (F.col("_last").isNull() | (F.col("_last") != F.col("node"))))
-    buckets = cut(rows.select("sig", "node", "least"))
-    sizes = slim.select("node", F.col("n_shingles").alias("n")).distinct()
+    buckets = cut(rows.select("sig", "node", "n"))
+    # A node that shares its parts with many is likely what the others were copied from: it is tried first.
+    often = buckets.join(buckets.groupBy("sig").agg(F.count("*").alias("f")), "sig").groupBy("node").agg(F.sum("f").alias("p"))
+    buckets = cut(buckets.join(often, "node"))
     names = buckets.select("node").distinct()
     # One document's text stands for each node that shares a bucket with another.
     stand = slim.filter(F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(names, "node", "left_semi")
@@ -258,42 +260,53 @@ def link_nodes(docs: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
                 ok[i] = 100 * common >= PERCENT * (len(v) - common)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok)], ["a", "b", "ok"])
 
+    def may_link(n: str, m: str) -> Column:
+        return 10 * F.least(n, m) >= 9 * F.greatest(n, m)
+
     def tested(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
-        s, t = sizes.toDF("a", "_ra"), sizes.toDF("b", "_rb")
-        pairs = pairs.join(s, "a").join(t, "b").filter((10 * F.least("_ra", "_rb") >= 9 * F.greatest("_ra", "_rb"))).select("a", "b")
         p = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return cut(p.mapInArrow(verify, "a long, b long, ok boolean"))
 
-    done = tested(buckets.select(F.col("least").alias("a"), F.col("node").alias("b")))
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    centre = buckets.groupBy("sig").agg(F.max(F.struct("p", F.col("node").alias("a"), F.col("n").alias("na"))).alias("c")).select("sig", "c.a", "c.na")
+    first_pairs = buckets.join(centre, "sig").filter((F.col("a") != F.col("node")) & may_link("n", "na")).select("a", F.col("node").alias("b"))
+    done = tested(ordered(first_pairs))
+    roots = components(done.filter("ok").select("a", "b"))
     for turn in range(6):
-        roots = components(done.filter("ok").select("a", "b"))
-        m = buckets.select("sig", "node").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        m = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         # Buckets whose nodes are not all connected, and how many pairs are open in them.
-        per = m.groupBy("sig", "root").agg(F.count("*").alias("c")).groupBy("sig").agg(F.count("*").alias("roots"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        per = per.filter("roots > 1")
-        left = cut(m.join(per.select("sig", (F.col("n") * F.col("n") - F.col("q")).alias("open")), "sig"))
-        count = left.groupBy("sig").agg(F.first("open").alias("o")).agg(F.sum("o")).first()[0]
-        if not count:
+        per = m.groupBy("sig", "root").agg(F.count("*").alias("c")).groupBy("sig").agg(F.count("*").alias("roots"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"))
+        per = per.filter("roots > 1").select("sig", (F.col("all") * F.col("all") - F.col("same")).alias("open"))
+        left = cut(m.join(per, "sig"))
+        rows_left = left.count()
+        if not rows_left:
             break
-        x, y = left.select("sig", F.col("node").alias("a"), F.col("root").alias("ra"), "open"), left.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"))
-        every_pair = turn == 5 or count <= 50_000 + 40 * left.count()
-        if not every_pair:  # a few more centres first, others in each turn
-            key = F.xxhash64(F.lit(turn), "sig", "a")
-            nth = F.row_number().over(Window.partitionBy("sig").orderBy(key))
-            x = x.withColumn("_nth", nth).filter((F.col("_nth") <= 4) | (F.col("open") <= 200))
-        pairs = x.join(y, "sig").filter(F.col("ra") != F.col("rb")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = cut(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))
-        done = done.unionByName(tested(pairs))
+        count = left.groupBy("sig").agg(F.first("open").alias("o")).agg(F.sum("o")).first()[0]
+        every_pair = turn == 5 or count <= 20_000 + 12 * rows_left
+        x = left.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "p", "open")
+        y = left.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+        if not every_pair:  # first the likeliest originals of each bucket's components, other ones in every turn
+            of_root = F.row_number().over(Window.partitionBy("sig", "ra").orderBy(F.col("p").desc(), F.xxhash64(F.lit(turn), "a")))
+            x = x.withColumn("_i", of_root).filter(F.col("_i") == 1)
+            x = x.withColumn("_j", F.row_number().over(Window.partitionBy("sig").orderBy(F.xxhash64(F.lit(turn), "a") if turn % 2 else F.col("p").desc(), "a"))).filter((F.col("_j") <= 3) | (F.col("open") <= 12))
+        met = (F.col("x.sig") == F.col("y.sig")) & (F.col("ra") != F.col("rb")) & may_link("na", "nb")
+        met = met & (F.col("a") > F.col("b")) if every_pair else met
+        pairs = ordered(x.alias("x").join(y.alias("y"), met).select("a", "b"))
+        new = tested(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))
+        done = done.unionByName(new)
+        if not new.filter("ok").isEmpty():
+            roots = components(done.filter("ok").select("a", "b"))
         if every_pair:
             break
-    return slim.drop("probes"), done.filter("ok").select("a", "b")
+    return slim.drop("probes"), roots
 
 
 def join(docs: DataFrame, k: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    slim, links = link_nodes(docs, k)
-    roots = components(links).withColumnRenamed("node", "_node")
+    slim, roots = link_nodes(docs, k)
+    roots = roots.withColumnRenamed("node", "_node")
     named = slim.join(roots, slim["node"] == roots["_node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
     full, empty = named.filter("n_shingles > 0"), named.filter("n_shingles = 0")
     least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
