@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once, also where f uses it inside further lambdas."""
+    return F.transform(F.array(value), f)[0]
+
+
 def strip(c: Column | str) -> Column:
     """Whitespace of any kind off both ends (`trim` takes only spaces)."""
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")

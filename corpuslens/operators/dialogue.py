@@ -53,8 +53,11 @@ def lines_of(output: Column | str, least: int = 0, most: int = 10**9, limit: int
     fit = F.filter(lines, lambda x: (F.length(x) >= least) & (F.length(x) <= most) & ~_any([F.lower(x).contains(e) for e in echoes]) & (x.contains(must) if must else F.lit(True)))
     if not_like is not None:
         fit = F.filter(fit, lambda x: F.lower(x) != F.lower(fn.strip(not_like)))
-    first = F.filter(F.transform(fit, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["i"] == F.array_position(F.transform(fit, F.lower), F.lower(s["x"])) - 1)
-    return F.slice(F.transform(first, lambda s: s["x"]), 1, limit)
+    def distinct(f: Column) -> Column:
+        low = F.transform(f, F.lower)
+        return fn.let(low, lambda seen: F.filter(f, lambda x, i: F.array_position(seen, F.lower(x)) == i + 1))
+
+    return F.slice(fn.let(fit, distinct), 1, limit)
 
 
 def sub_questions(output: Column | str, question: Column, most: int = 4) -> Column:

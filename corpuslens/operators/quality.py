@@ -154,17 +154,24 @@ def word_error(ref: Column | str, got: Column | str, detach: bool = False) -> Co
     """Up to 60,000 distinct words a pair."""
     cut = (lambda c: F.regexp_replace(c, r"([^\p{L}\p{N}_\s])", " $1 ")) if detach else (lambda c: c)
     a, b = (_list(canonical(cut(canonical(c)))) for c in (ref, got))
-    both = F.array_distinct(F.concat(a, b))
-    return _rate(F.levenshtein(_as_characters(a, both), _as_characters(b, both)).cast("double"), F.size(a).cast("double"))
+
+    def rate(s: Column) -> Column:
+        codes = lambda ws: _as_characters(ws, s["w"])
+        return _rate(F.levenshtein(codes(s["a"]), codes(s["b"])).cast("double"), F.size(s["a"]).cast("double"))
+
+    return fn.let(F.struct(a.alias("a"), b.alias("b")), lambda s: fn.let(F.struct(s["a"].alias("a"), s["b"].alias("b"), F.array_distinct(F.concat(s["a"], s["b"])).alias("w")), rate))
 
 
 def unordered_word_error(ref: Column | str, got: Column | str) -> Column:
-    """The larger of the words missing and the words too many, as bags."""
-    a, b = _list(canonical(ref)), _list(canonical(got))
-    both = F.array_distinct(F.concat(a, b))
-    count = lambda ws, w: F.size(F.filter(ws, lambda x: x == w))
-    extra = lambda x, y: F.aggregate(both, F.lit(0), lambda s, w: s + F.greatest(F.lit(0), count(x, w) - count(y, w)))
-    return _rate(F.greatest(extra(a, b), extra(b, a)).cast("double"), F.size(a).cast("double"))
+    """The larger of the words missing and the words too many, as bags: sorted lists are counted run by run."""
+    both = F.struct(F.array_sort(_list(canonical(ref))).alias("a"), F.array_sort(_list(canonical(got))).alias("b"))
+
+    def rate(s: Column) -> Column:
+        numbered = lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("w"), (i - F.array_position(ws, w) + 1).alias("k")))
+        common = F.size(F.array_intersect(numbered(s["a"]), numbered(s["b"])))
+        return _rate((F.greatest(F.size(s["a"]), F.size(s["b"])) - common).cast("double"), F.size(s["a"]).cast("double"))
+
+    return fn.let(both, rate)
 
 
 def error_rates(pairs: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def _docs(pattern: str) -> str:
 
 
 def _chunks(cut: str) -> str:
-    return f"cut AS (SELECT *, {cut} AS cs FROM docs), chunks AS (SELECT documento_origem || '::' || (i - 1) AS chunk_id, cs[i] AS texto, documento_origem, titulo_pagina, (i - 1)::INT AS chunk_index FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS i FROM cut))"
+    return f"cut AS (SELECT *, {cut} AS cs FROM docs), chunks AS MATERIALIZED (SELECT documento_origem || '::' || (i - 1) AS chunk_id, cs[i] AS texto, documento_origem, titulo_pagina, (i - 1)::INT AS chunk_index FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS i FROM cut))"
 
 
 def _by_paragraph(least: int, most: int) -> str:
@@ -95,7 +95,7 @@ num AS (SELECT count(*) AS n, avg(dl) AS mean FROM size),
 asked AS ({asked}), asked_tok AS (SELECT DISTINCT consulta_id, unnest({TOKENS.format('texto')}) AS token FROM asked),
 freq AS (SELECT token, count(*) AS df FROM post GROUP BY token),
 {name}_all AS (SELECT consulta_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) AS score FROM post JOIN asked_tok USING (token) JOIN freq USING (token) JOIN size USING (chunk_id), num GROUP BY ALL),
-{name} AS (SELECT * FROM (SELECT consulta_id, {RANK} AS posicao, chunk_id, score FROM {name}_all) WHERE posicao <= {k})"""
+{name} AS MATERIALIZED (SELECT * FROM (SELECT consulta_id, {RANK} AS posicao, chunk_id, score FROM {name}_all) WHERE posicao <= {k})"""
 
 
 def _dense(k: int) -> str:
@@ -315,7 +315,7 @@ def g4_g5_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompting.prompts(q, r.filter("posicao <= 5")).select("consulta_id", F.md5("prompt").alias("prompt"), "n")
 
 
-@query("SELECT conv_id, turn, array_to_string(list_transform(list_filter([turn - 1, turn + 2, turn], lambda i: i < 1 OR i > 4), lambda j: 'Fonte ' || j), ', ') AS invalidas FROM conversations")
+@query("SELECT conv_id, turn, array_to_string(list_transform(list_filter([turn - 1, turn + 2, turn], lambda i: i = 0 OR i > 4), lambda j: 'Fonte ' || j), ', ') AS invalidas FROM conversations")
 def g6_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     n = lambda k: (F.col("turn") + k).cast("string")
@@ -388,8 +388,8 @@ def d9_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ── evaluation ──
-GOLD = f"{BASE}, {_search(20)}, gold AS (SELECT item_id AS consulta_id, CASE WHEN item_id % 2 = 0 THEN 'factual' ELSE 'exploratoria' END AS tipo, titulo AS pagina FROM benchmark LEFT JOIN (SELECT DISTINCT item_id AS i, source AS titulo FROM benchmark, documents WHERE contains(documents.text, benchmark.text)) ON i = item_id)"
-CASES = "pg AS (SELECT consulta_id, titulo_pagina AS pagina, row_number() OVER (PARTITION BY consulta_id ORDER BY min(posicao)) AS lugar FROM {r} JOIN chunks USING (chunk_id) GROUP BY ALL), cs AS (SELECT g.consulta_id, tipo, esperadas, coalesce(acertos, 0) AS acertos, coalesce(coalesce(acertos, 0) / nullif(esperadas, 0), 0) AS cobertura, primeira, coalesce(trechos, 0) AS trechos FROM (SELECT consulta_id, any_value(tipo) AS tipo, count(DISTINCT pagina) AS esperadas FROM gold GROUP BY ALL) g LEFT JOIN (SELECT consulta_id, count(*) AS acertos, min(lugar) AS primeira FROM gold JOIN pg USING (consulta_id, pagina) GROUP BY ALL) USING (consulta_id) LEFT JOIN (SELECT consulta_id, count(*) AS trechos FROM {r} GROUP BY ALL) USING (consulta_id))"
+GOLD = f"{BASE}, {_search(20)}, gold AS MATERIALIZED (SELECT item_id AS consulta_id, CASE WHEN item_id % 2 = 0 THEN 'factual' ELSE 'exploratoria' END AS tipo, titulo AS pagina FROM benchmark LEFT JOIN (SELECT DISTINCT item_id AS i, source AS titulo FROM benchmark, documents WHERE contains(documents.text, benchmark.text)) ON i = item_id)"
+CASES = "pg AS (SELECT consulta_id, pagina, row_number() OVER (PARTITION BY consulta_id ORDER BY m) AS lugar FROM (SELECT consulta_id, titulo_pagina AS pagina, min(posicao) AS m FROM {r} JOIN chunks USING (chunk_id) GROUP BY ALL)), cs AS (SELECT g.consulta_id, tipo, esperadas, coalesce(acertos, 0) AS acertos, coalesce(coalesce(acertos, 0) / nullif(esperadas, 0), 0) AS cobertura, primeira, coalesce(trechos, 0) AS trechos FROM (SELECT consulta_id, any_value(tipo) AS tipo, count(DISTINCT pagina) AS esperadas FROM gold GROUP BY ALL) g LEFT JOIN (SELECT consulta_id, count(*) AS acertos, min(lugar) AS primeira FROM gold JOIN pg USING (consulta_id, pagina) GROUP BY ALL) USING (consulta_id) LEFT JOIN (SELECT consulta_id, count(*) AS trechos FROM {r} GROUP BY ALL) USING (consulta_id))"
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,8 +399,7 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
 
     def runs(c: Column) -> Column:
-        w = word(c)
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 0, 5), " ")))
+        return fn.let(word(c), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 5), " "))))
 
     # The passage's second to sixth words: its first may be only the end of a longer word in a document.
     inner = b.select("consulta_id", "b", F.xxhash64(F.array_join(F.slice(word(F.col("b")), 2, 5), " ")).alias("h"))
@@ -476,7 +475,7 @@ def o12_o18_page_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _levels(spark, sf_dir).select("handle", "pagina", "caracteres", "palavras", F.round("fora_do_dicionario", 6).alias("fora"), F.col("possiveis_nomes").alias("nomes"), "nivel")
 
 
-@query(f"{QUALITY}, sus AS (SELECT handle, arquivo, pagina, palavra, row_number() OVER (PARTITION BY handle, arquivo, pagina ORDER BY count(*) DESC, min(pos)) AS k FROM k WHERE mi AND des GROUP BY ALL) SELECT pagina, string_agg(palavra, ' ' ORDER BY k) AS suspeitas FROM sus WHERE k <= 10 GROUP BY handle, arquivo, pagina")
+@query(f"{QUALITY}, cnt AS (SELECT handle, arquivo, pagina, palavra, count(*) AS c, min(pos) AS p FROM k WHERE mi AND des GROUP BY ALL), sus AS (SELECT *, row_number() OVER (PARTITION BY handle, arquivo, pagina ORDER BY c DESC, p) AS k FROM cnt) SELECT pagina, string_agg(palavra, ' ' ORDER BY k) AS suspeitas FROM sus WHERE k <= 10 GROUP BY handle, arquivo, pagina")
 def o15_suspect_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, dictionary = _pages(spark, sf_dir)
     i = quality.indicators(pages, dictionary).filter(F.size("suspeitas") > 0)
