@@ -609,7 +609,7 @@ def s16_word_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.word_confidence(tsv).select("pagina", F.round("confianca", 6).alias("confianca"))
 
 
-@query("SELECT arquivo, pagina, round(max(least(0.4 + 0.1 * turn, 2)), 6) AS cobertura FROM (SELECT conv_id AS arquivo, (turn % 2) AS pagina, turn FROM conversations) GROUP BY ALL")
+@query("SELECT arquivo, pagina, round(max(least(0.4 + 0.1 * turn, 2)::DOUBLE), 6) AS cobertura FROM (SELECT conv_id AS arquivo, (turn % 2) AS pagina, turn FROM conversations) GROUP BY ALL")
 def s13_image_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("arquivo"), (F.col("turn") % 2).alias("pagina"), "turn")
     images = c.select("arquivo", "pagina", (F.least(F.lit(0.4) + F.lit(0.1) * F.col("turn"), F.lit(2.0)) * 1000).alias("w"), F.lit(1000.0).alias("h"), F.lit(72.0).alias("xppi"), F.lit(72.0).alias("yppi"))
