@@ -222,7 +222,7 @@ def train(docs: DataFrame, per_language: int = 1500, hidden: int = 6, span: int
     by = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), "doc_id")
     chosen = usable.withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= per_language).select("doc_id", "lang").distinct()
     # A training text gives a few windows; of very long ones only the first part is fetched for them.
-    some = docs.select("doc_id", "lang", F.substring("text", 1, 20_000).alias("text")).join(chosen, ["doc_id", "lang"]).collect()
+    some = docs.select("doc_id", "lang", F.substring("text", 1, 20_000).alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"]).collect()
     if not some:
         return None
     some.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
