@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages over documents, each over all that its predecessor kept.
 
-Languages that aren't recognised go; one document of each group of near copies stays (90 % of word shingles in common);
+Languages that aren't recognised go; one document of each group of near copies stays (80 % of five-word shingles in common);
 personal data gets pseudonyms; sources are mixed to their weights (documents taken more than once appear as often, cut
 ones with the words taken); what is left is packed into sequences.
 """
@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, k=5, percent=80)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

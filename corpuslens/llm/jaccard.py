@@ -32,10 +32,12 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_ASCII, cut, flat, mix, slices, windows, word_hashes, word_spans
 
-# A pair links when 100 * common >= 90 * union; so it differs in (r + s) // 19 shingles at most.
+# A pair links when 100 * common >= percent * union; at 90 it so differs in (r + s) // 19 shingles at most.
 PERCENT = 90
 LEAST = 9  # smaller sets can't link to different ones
 SLICE = 512  # the share of the signature space that costs are counted on
+OFTEN = 32  # shingles in more prefixes than this come last in their sets' order
+MOST = 100_000  # of them, so many travel to the tasks
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -134,6 +136,35 @@ class Schemes:
         return tuple(np.concatenate([o[i] for o in out]) for i in range(4))
 
 
+class Prefixes:
+    """For lower thresholds, where segments would hold so few shingles that many are empty: two sets that link at percent share one of
+    the first n - ceil(percent * n / 100) + 1 shingles of each, in any order common to all sets. Shingles met often come last, the commonest at the end."""
+
+    def __init__(self, percent: int):
+        self.percent, self.least = percent, -(-percent // (100 - percent))
+        self.often, self.times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def put_last(self, sigs: np.ndarray, times: np.ndarray) -> None:
+        order = np.argsort(sigs)
+        self.often, self.times = sigs[order], times[order]
+
+    def signatures(self, prints: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As those of Schemes; the place is that in the set's order."""
+        sizes = np.diff(edges)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        sig = mix(prints + np.uint64(0x632BE59BD9B4E019))
+        times = np.zeros(len(sig), np.int64)
+        if len(self.often):
+            at = np.minimum(np.searchsorted(self.often, sig), len(self.often) - 1)
+            times = np.where(self.often[at] == sig, self.times[at], 0)
+        order = np.lexsort((sig, times, row))
+        row, sig = row[order], sig[order]
+        place = np.arange(len(sig)) - np.repeat(edges[:-1] - edges[0], sizes)
+        length = np.where(sizes >= self.least, sizes + sizes * -self.percent // 100 + 1, 0)
+        first = place < length[row]
+        return row[first], place[first], np.ones(int(first.sum()), np.int8), sig[first]
+
+
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray, list[int]]]:
     """Slices of the batches with their shingle sets: (batch, from, to, shingles, offsets, nodes)."""
     for b in batches:
@@ -172,10 +203,9 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def link_nodes(docs: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, node) of every row, and (node, root) of the nodes that verified links connect."""
+def _segments(docs: DataFrame, k: int) -> tuple[DataFrame, Schemes]:
+    """(doc_id, n_shingles, node) of every row, and the schemes with their allotment."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = F.coalesce(F.octet_length("text"), F.lit(0))
     largest = docs.agg(F.max(words)).first()[0] or 0
     every = Schemes(min(largest // 2 + 1, 1 << 40))
@@ -203,7 +233,35 @@ def link_nodes(docs: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
     for r in cost:
         costs[r["kind"], r["place"]] = r["cost"]
     every.allot(costs[1], costs[2])
-    shape = spark.sparkContext.broadcast(every)
+    return slim.drop("probes"), every
+
+
+def _prefixes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Prefixes]:
+    """(doc_id, n_shingles, node) of every row, and the order with the shingles that more than OFTEN sets have in their hash-ordered prefix last."""
+    order = Prefixes(percent)
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, a, z, _, edges, nodes in _sets(batches, k):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(a, z - a), pa.array(np.diff(edges), pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "n_shingles", "node"])
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, prints, edges, _ in _sets(batches, k):
+            sig, f = np.unique(order.signatures(prints, edges)[3], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(f.astype(np.int64))], ["sig", "f"])
+
+    met = docs.mapInArrow(counts, "sig long, f long").groupBy("sig").agg(F.sum("f").alias("f")).filter(F.col("f") > OFTEN)
+    met = met.orderBy(F.col("f").desc(), "sig").limit(MOST).collect()
+    last = Prefixes(percent)
+    last.put_last(np.array([r["sig"] for r in met], np.int64).view(np.uint64), np.array([r["f"] for r in met], np.int64))
+    return cut(docs.mapInArrow(names, "doc_id long, n_shingles long, node long")), last
+
+
+def link_nodes(docs: DataFrame, k: int = 3, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node) of every row, and (node, root) of the nodes that verified links connect."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    slim, order = _segments(docs, k) if percent == PERCENT else _prefixes(docs, k, percent)
+    shape = spark.sparkContext.broadcast(order)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schemes, seen = shape.value, set()
@@ -257,11 +315,11 @@ def link_nodes(docs: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
                 wide[: len(x), :6], wide[len(x) :, :6] = x, y
                 v = np.sort(wide.view("<u8").ravel())
                 common = int((v[1:] == v[:-1]).sum())
-                ok[i] = 100 * common >= PERCENT * (len(v) - common)
+                ok[i] = 100 * common >= percent * (len(v) - common)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok)], ["a", "b", "ok"])
 
     def may_link(n: str, m: str) -> Column:
-        return 10 * F.least(n, m) >= 9 * F.greatest(n, m)
+        return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
     def tested(pairs: DataFrame) -> DataFrame:
         p = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
@@ -300,12 +358,12 @@ def link_nodes(docs: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
             roots = components(done.filter("ok").select("a", "b"))
         if every_pair:
             break
-    return slim.drop("probes"), roots
+    return slim, roots
 
 
-def join(docs: DataFrame, k: int = 3) -> DataFrame:
+def join(docs: DataFrame, k: int = 3, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    slim, roots = link_nodes(docs, k)
+    slim, roots = link_nodes(docs, k, percent)
     roots = roots.withColumnRenamed("node", "_node")
     named = slim.join(roots, slim["node"] == roots["_node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
     full, empty = named.filter("n_shingles > 0"), named.filter("n_shingles = 0")
@@ -314,9 +372,9 @@ def join(docs: DataFrame, k: int = 3) -> DataFrame:
     return out.unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def keep_one(docs: DataFrame, k: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = 3, percent: int = PERCENT) -> DataFrame:
     """The documents, one of each component: the row of its smallest doc_id (of repeated ids, the one whose text hashes lowest)."""
-    kept = join(docs, k).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = join(docs, k, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     known = docs.join(kept.filter("doc_id is not null"), "doc_id", "left_semi").select(*docs.columns)
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[F.col(c) for c in docs.columns if c not in ("doc_id", "text") and docs.schema[c].dataType.simpleString() in ("string", "bigint", "int", "double")])
     known = known.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
