@@ -536,7 +536,7 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
         y = F.pmod(i * 60, F.lit(1900))
         text = F.when(i % 7 == 6, F.lit("3 o")).otherwise(t)
         empty = F.array().cast(regions.POINTS)
-        words = F.transform(F.slice(F.split(text, " "), 1, 20), lambda w: F.struct(w.alias("texto"), empty.alias("contorno"), (F.pmod(F.length(w) * 37, F.lit(100)) / 100).cast("double").alias("confianca")))
+        words = F.transform(F.split(text, " "), lambda w: F.struct(w.alias("texto"), empty.alias("contorno"), (F.pmod(F.length(w) * 37, F.lit(100)) / 100).cast("double").alias("confianca")))
         return F.struct(F.concat(F.lit("l"), i.cast("string")).alias("id"), text.alias("texto"), F.array(point(left, y), point(left + F.when(i % 7 == 6, 30).otherwise(600), y + 40)).alias("contorno"), empty.alias("linha_de_base"), words.alias("palavras"), F.lit(None).cast("double").alias("confianca"))
 
     rows = d.withColumn("l", F.transform("l", line))

@@ -42,6 +42,10 @@ def derived(text):
     return "\n\n".join(b for b in blocks if b)
 
 
+def words(text):
+    return [[len(w) * 37 % 100 / 100 for w in t.split(" ")] for b in kept_lines(text) for t in b]
+
+
 def documents(spark, tmp_path):
     spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     return str(tmp_path)
@@ -50,3 +54,14 @@ def documents(spark, tmp_path):
 def test_derived_text_of_every_document(spark, tmp_path):
     got = {r["doc_id"]: r["texto"] for r in queries.o2_o5_derived_text(spark, documents(spark, tmp_path)).collect()}
     assert got == {i: None if t is None else hashlib.md5(derived(t).encode()).hexdigest() for i, t in TEXTS.items()}
+
+
+def test_every_word_counts_in_page_marks(spark, tmp_path):
+    got = {r["doc_id"]: r for r in queries.o3_o31_page_marks(spark, documents(spark, tmp_path)).collect()}
+    assert got.keys() == TEXTS.keys()
+    for i in (1, 2, 5, 8):
+        by_line = words(TEXTS[i])
+        v = [x for line in by_line for x in line]
+        assert got[i]["confianca"] == round(sum(v) / len(v), 6)
+        assert got[i]["hesitante"] == round(sum(x < 0.5 for x in v) / len(v), 6)
+        assert got[i]["linhas"] == sum(sum(line) / len(line) < 0.5 for line in by_line)
