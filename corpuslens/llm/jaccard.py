@@ -6,12 +6,15 @@ band's and the next lower one's. A scheme hashes the universe into segments and
 (its part of a set must be equal) or 2 (equal up to one shingle: the part and its one-deletion neighbourhood are
 indexed). As the numbers sum to more than the pair may differ by, some segment of every linking pair matches. Which
 segments get 0 or 2 is decided by what they cost: rows to index, and pairs that collide, counted over all sets on a
-1/512 slice of the signature space. Candidates are verified on the sets themselves.
+1/512 slice of the signature space.
 
-Sets that are equal are one node from the start. In a bucket of equal signatures each node is first tried only with
-the one that shares most signatures with others (in a group of copies, the likely original); nodes that are then connected need no further test, and all others in a bucket are tried
-pair by pair, so that no link is lost and groups of thousands don't cost thousands squared. Signatures that occur
-often within one task's texts are dealt out again (salted), their least nodes meeting in the plain bucket.
+A bucket of equal signatures holds candidates. Each set also has a parity sketch of 512 bits; two sketches never differ
+in more bits than their sets do in shingles, so pairs whose sketches differ too much are left out without any loss. Of
+the rest each node is first tested with the one near node that has most near nodes itself (in a group of copies, the
+likely original); then the best connected nodes of the components of a bucket meet; last, whatever lies outside a
+bucket's largest component is tested with all that is near to it and not yet connected. So no link between components is lost, and
+groups of thousands don't cost thousands squared. Buckets over BLOCK rows are cut into blocks that meet in cells.
+Candidates are verified on the sets themselves.
 
 Shingles, signatures and nodes are 63/64-bit hashes (chance collisions: n^2 / 2^64 for n distinct sets).
 
@@ -22,7 +25,7 @@ a doc_id, component_id is null; an empty table gives an empty result; other colu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +33,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, cut, flat, mix, slices, windows, word_hashes, word_spans
+from .common import LOWER_ASCII, WORD_PATTERN, cut, flat, mix, remove, slices, windows, word_hashes, word_spans
 
-# A pair links when 100 * common >= percent * union; at 90 it so differs in (r + s) // 19 shingles at most.
-PERCENT = 90
-LEAST = 9  # smaller sets can't link to different ones
+PERCENT = 90  # a pair links when 100 * common >= percent * union
+TABLE = 1 << 16  # sets of up to so many shingles have allotments of their own
 SLICE = 512  # the share of the signature space that costs are counted on
 OFTEN = 32  # shingles in more prefixes than this come last in their sets' order
 MOST = 100_000  # of them, so many travel to the tasks
+SKETCH = 512  # bits
+BLOCK = 2048  # rows of a bucket that one step compares with each other
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -71,23 +75,30 @@ def node_of(part: np.ndarray) -> int:
 
 
 class Schemes:
-    """Size bands, their segments, and what each segment is allotted."""
+    """Size bands, their segments, and what each segment is allotted.
 
-    def __init__(self, largest: int):
-        lows, highs, at = [], [], LEAST
-        while at <= max(largest, LEAST):
+    Only the bands of sets up to `table` shingles have allotments of their own, so the plan's size doesn't follow the
+    longest text; larger sets' bands have one segment more than their sets may differ by, each with one."""
+
+    def __init__(self, percent: int = PERCENT, table: int = TABLE):
+        self.least = -(-percent // (100 - percent))  # smaller sets can't link to different ones
+        lows, highs, at = [], [], self.least
+        while at < 1 << 40:
             lows.append(at)
-            highs.append(at * 10 // 9)
+            highs.append(at * 100 // percent)
             at = highs[-1] + 1
         self.low, self.high = np.array(lows), np.array(highs)
-        self.differ = (self.high + self.high * 10 // 9) // 19
-        self.segments = self.differ + 1 + np.maximum(1, (self.differ + 1) // 10)
+        self.differ = (self.high + self.high * 100 // percent) * (100 - percent) // (100 + percent)
+        self.planned = int(np.searchsorted(self.low, table, side="right"))
+        spare = np.maximum(1, (self.differ + 1) // 10)
+        spare[self.planned :] = 0
+        self.segments = self.differ + 1 + spare
         self.offset = np.concatenate([[0], np.cumsum(self.segments)])
-        self.allotted = np.ones(self.offset[-1], np.int8)
+        self.allotted = np.ones(self.offset[self.planned], np.int8)
 
     def allot(self, ones: np.ndarray, twos: np.ndarray) -> None:
         """Least cost: start from nothing and take the cheapest next step of any segment until the sum is reached."""
-        for b in range(len(self.low)):
+        for b in range(self.planned):
             a, z = self.offset[b], self.offset[b + 1]
             first, second = ones[a:z], np.maximum(twos[a:z] - ones[a:z], ones[a:z])
             need = int(self.differ[b]) + 1
@@ -97,9 +108,9 @@ class Schemes:
             # A second step is never cheaper than its own first, and comes after it where equal.
             self.allotted[a:z] = np.bincount(kind[chosen], minlength=z - a)
 
-    def signatures(self, prints: np.ndarray, edges: np.ndarray, allotted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row, place of the segment among all, kind, signature): kind 1 for whole parts, 2 for parts of segments allotted two and their one-deletions."""
-        allotted = self.allotted if allotted is None else allotted
+    def signatures(self, prints: np.ndarray, edges: np.ndarray, every: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place of the segment among all, kind, signature): kind 1 for whole parts, 2 for parts of segments allotted two and
+        their one-deletions. `every` allots that to all planned segments, and leaves the others out."""
         sizes = np.diff(edges)
         own = np.searchsorted(self.high, sizes)
         out: list[tuple[np.ndarray, ...]] = []
@@ -107,7 +118,9 @@ class Schemes:
         row_of = np.repeat(np.arange(len(sizes)), sizes)
         for lower in (0, 1):
             band = own - lower
-            live = (sizes >= LEAST) & (band >= 0)
+            live = (sizes >= self.least) & (band >= 0)
+            if every is not None:
+                live &= band < self.planned
             if not live.any():
                 continue
             rows = np.flatnonzero(live)
@@ -122,7 +135,12 @@ class Schemes:
             owner = np.repeat(rows, m)
             place = self.offset[band[owner]] + np.arange(len(owner)) - base[owner]
             salt = mix(place.astype(np.uint64) + np.uint64(0x1234567))
-            share = allotted[place]
+            share = np.ones(len(place), np.int8)
+            if every is not None:
+                share[:] = every
+            else:
+                planned = place < len(self.allotted)
+                share[planned] = self.allotted[place[planned]]
             one = share == 1
             out.append((owner[one], place[one], np.ones(int(one.sum()), np.int8), mix(sums[one] ^ salt[one])))
             two = share == 2
@@ -165,6 +183,128 @@ class Prefixes:
         return row[first], place[first], np.ones(int(first.sum()), np.int8), sig[first]
 
 
+# ── Parity sketches ──
+
+
+def sketches(prints: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """[sets, SKETCH / 64] words: bit h is the parity of the number of shingles that fall on h. A shingle that only one of two
+    sets holds flips one bit, so two sketches differ in no more bits than the sets do in shingles."""
+    n = len(edges) - 1
+    out = np.zeros((n, SKETCH // 64), np.uint64)
+    bit = (mix(prints ^ np.uint64(0x1F83D9ABFB41BD6B)) % np.uint64(SKETCH)).astype(np.int64)
+    for a in range(0, n, 20_000):
+        z = min(n, a + 20_000)
+        size = np.diff(edges[a : z + 1])
+        flips = np.zeros((z - a) * SKETCH, np.uint8)
+        np.add.at(flips, np.repeat(np.arange(z - a) * SKETCH, size) + bit[edges[a] : edges[z]], np.uint8(1))
+        out[a:z] = np.packbits((flips & 1).reshape(z - a, SKETCH), axis=1).view(np.uint64)
+    return out
+
+
+def near(i: np.ndarray, j: np.ndarray, n: np.ndarray, sketch: np.ndarray, root: np.ndarray, percent: int) -> np.ndarray:
+    """Whether rows i and j (broadcast against each other) are of different roots and can link by their sizes and sketches."""
+    r, s = n[i], n[j]
+    ok = (root[i] != root[j]) & (100 * np.minimum(r, s) >= percent * np.maximum(r, s))
+    apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(-1, dtype=np.int64)
+    return ok & (apart * (100 + percent) <= (r + s) * (100 - percent))
+
+
+def near_pairs(start: np.ndarray, n: np.ndarray, sketch: np.ndarray, root: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i < j of one group (rows start[g] to start[g + 1]) that near() accepts: by their distance in small groups, in strips in large ones."""
+    size = np.diff(start)
+    end = np.repeat(start[1:], size)
+    small = np.flatnonzero(np.repeat(size <= 64, size))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    lag = 1
+    while len(small := small[end[small] - small > lag]):
+        for a in range(0, len(small), 1 << 17):
+            i = small[a : a + (1 << 17)]
+            ok = near(i, i + lag, n, sketch, root, percent)
+            found.append((i[ok], i[ok] + lag))
+        lag += 1
+    for g in np.flatnonzero(size > 64):
+        here = np.arange(start[g], start[g + 1])
+        for a in range(0, len(here), 256):
+            rest = here[a:]
+            x, y = np.nonzero(near(rest[:256, None], rest[None, :], n, sketch, root, percent))
+            up = y > x
+            found.append((rest[x[up]], rest[y[up]]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, least: int = 1 << 15) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The rows of sorted batches again, as tables that end where a group (the first `keys` columns) does, and the n + 1 edges of their groups."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def edges(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, bool)
+        new[0] = True
+        for c in range(keys):
+            v = t.column(c).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.append(np.flatnonzero(new), t.num_rows)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        rows += b.num_rows
+        if rows >= least:
+            t = pa.Table.from_batches(held).combine_chunks()
+            e = edges(t)
+            if len(e) > 2:
+                yield t.slice(0, e[-2]), e[:-1]
+            held = t.slice(e[-2]).to_batches()
+            rows = t.num_rows - int(e[-2])
+            least = max(1 << 15, 2 * rows)
+    if rows:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, edges(t)
+
+
+def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """node, n, root and sketch of a table's rows."""
+    data, _ = flat(t.column("sketch"))
+    return t.column("node").to_numpy(), t.column("n").to_numpy().astype(np.int64), t.column("root").to_numpy(), data.view(np.uint64).reshape(t.num_rows, -1)
+
+
+def hubs(percent: int):
+    """Of each row with near rows in its group, the one of them that has the most near rows itself: in a group of copies, the likely original."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, start in whole_groups(batches, 2):
+            node, n, root, sketch = _columns(t)
+            i, j = near_pairs(start, n, sketch, root, percent)
+            degree = np.bincount(i, minlength=len(n)) + np.bincount(j, minlength=len(n))
+            x, y = np.concatenate([i, j]), np.concatenate([j, i])
+            order = np.lexsort((node[y], -degree[y], x))
+            x, y = x[order], y[order]
+            first = np.ones(len(x), bool)
+            first[1:] = x[1:] != x[:-1]
+            x, y = x[first], y[first]
+            yield pa.RecordBatch.from_arrays([pa.array(t.column("sig").to_numpy()[x]), pa.array(node[x]), pa.array(node[y]), pa.array(degree[y])], ["sig", "node", "partner", "degree"])
+
+    return run
+
+
+def crossing(percent: int):
+    """All near pairs of a cell with a row outside the bucket's largest component. Rows of a bucket cut into blocks have a side, and only pairs across sides count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, start in whole_groups(batches, 3):
+            node, n, root, sketch = _columns(t)
+            i, j = near_pairs(start, n, sketch, root, percent)
+            side, minor = t.column("side").to_numpy(), t.column("minor").to_numpy()
+            ok = (minor[i] | minor[j]) & ((side[i] == 0) | (side[i] != side[j]))
+            both = np.unique(np.stack([np.maximum(node[i[ok]], node[j[ok]]), np.minimum(node[i[ok]], node[j[ok]])], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    return run
+
+
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray, list[int]]]:
     """Slices of the batches with their shingle sets: (batch, from, to, shingles, offsets, nodes)."""
     for b in batches:
@@ -176,6 +316,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Record
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the links (a, b): large star and small star in turn until nothing moves."""
+    spark, old, new = edges.sparkSession, [], []
 
     def both(e: DataFrame) -> DataFrame:
         return e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -192,78 +333,84 @@ def components(edges: DataFrame) -> DataFrame:
     def down(e: DataFrame) -> DataFrame:
         return e.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    e = cut(down(edges))
+    e = cut(down(edges), old)
     while True:
         # Done when every node has one parent and no parent has one itself.
         n, distinct = e.agg(F.count("*"), F.count_distinct("a")).first()
         if n == distinct and e.join(e.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             break
-        e = cut(down(stars(down(stars(e, True)), False)))
+        e = cut(down(stars(down(stars(e, True)), False)), new)
+        remove(spark, old)
+        old, new = new, old
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _segments(docs: DataFrame, k: int) -> tuple[DataFrame, Schemes]:
-    """(doc_id, n_shingles, node) of every row, and the schemes with their allotment."""
-    spark = docs.sparkSession
-    words = F.coalesce(F.octet_length("text"), F.lit(0))
-    largest = docs.agg(F.max(words)).first()[0] or 0
-    every = Schemes(min(largest // 2 + 1, 1 << 40))
-    sliced = np.full(len(every.allotted), 1, np.int8), np.full(len(every.allotted), 2, np.int8)
-    shape = spark.sparkContext.broadcast((every, sliced))
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schemes, kinds = shape.value
+SLIM = "doc_id long, key long, n_shingles long, node long, sketch binary"
+
+
+def _described(docs: DataFrame, k: int, extra: Callable[[np.ndarray, np.ndarray], pa.Array], kind: str, paths: list[str]) -> DataFrame:
+    """(doc_id, key, n_shingles, node, sketch, extra) of every row, in one pass over the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, a, z, prints, edges, nodes in _sets(batches, k):
-            found: list[list[dict]] = [[] for _ in range(z - a)]
-            for allotted in kinds:
-                row, place, kind, sig = schemes.signatures(prints, edges, allotted)
-                pick = np.flatnonzero(sig % np.uint64(SLICE) == 0)
-                for r, p, t, s in zip(row[pick].tolist(), place[pick].tolist(), kind[pick].tolist(), sig[pick].view(np.int64).tolist(), strict=True):
-                    found[r].append({"place": p, "kind": t, "sig": s})
-            probe = pa.list_(pa.struct([("place", pa.int64()), ("kind", pa.int32()), ("sig", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(a, z - a), pa.array(np.diff(edges), pa.int64()), pa.array(nodes, pa.int64()), pa.array(found, probe)], ["doc_id", "n_shingles", "node", "probes"])
-
-    slim = cut(docs.mapInArrow(first, "doc_id long, n_shingles long, node long, probes array<struct<place:long,kind:int,sig:long>>"))
+            sketch = sketches(prints, edges).view(np.uint8).reshape(z - a, -1)
+            binary = pa.array([row.tobytes() for row in sketch], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(a, z - a), b.column("key").slice(a, z - a), pa.array(np.diff(edges), pa.int64()), pa.array(nodes, pa.int64()), binary, extra(prints, edges)], ["doc_id", "key", "n_shingles", "node", "sketch", "extra"])
+
+    return cut(docs.mapInArrow(run, f"{SLIM}, extra {kind}"), paths)
+
+
+def _lists(row: np.ndarray, n: int, values: pa.Array) -> pa.Array:
+    """Values grouped into one list a row; `row` ascending."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), values)
+
+
+def _segments(docs: DataFrame, k: int, percent: int, paths: list[str]) -> tuple[DataFrame, Schemes]:
+    """The described rows, and the schemes with their allotment."""
+    every = Schemes(percent)
+    shape = docs.sparkSession.sparkContext.broadcast(every)
+
+    def probes(prints: np.ndarray, edges: np.ndarray) -> pa.Array:
+        got = [shape.value.signatures(prints, edges, kind) for kind in (1, 2)]
+        row, place, kind, sig = (np.concatenate([g[i] for g in got]) for i in range(4))
+        pick = np.flatnonzero(sig % np.uint64(SLICE) == 0)
+        pick = pick[np.argsort(row[pick], kind="stable")]
+        values = pa.StructArray.from_arrays([pa.array(place[pick], pa.int64()), pa.array(kind[pick], pa.int32()), pa.array(sig[pick].view(np.int64))], ["place", "kind", "sig"])
+        return _lists(row[pick], len(edges) - 1, values)
+
+    slim = _described(docs, k, probes, "array<struct<place:long,kind:int,sig:long>>", paths)
     # What each segment costs: rows to index, and pairs that meet.
-    probes = slim.select("node", F.explode("probes").alias("p")).select("node", "p.*").distinct()
-    met = probes.groupBy("place", "kind", "sig").agg(F.count("*").cast("double").alias("f"))
-    cost = met.groupBy("place", "kind").agg(F.sum(F.col("f") + 2 * F.col("f") * (F.col("f") - 1)).alias("cost")).collect()
+    met = slim.select("node", F.explode("extra").alias("p")).select("node", "p.*").distinct().groupBy("place", "kind", "sig").agg(F.count("*").cast("double").alias("f"))
     costs = np.zeros((3, len(every.allotted)))
-    for r in cost:
+    # At most two rows a planned segment.
+    for r in met.groupBy("place", "kind").agg(F.sum(F.col("f") + 2 * F.col("f") * (F.col("f") - 1)).alias("cost")).collect():
         costs[r["kind"], r["place"]] = r["cost"]
     every.allot(costs[1], costs[2])
-    return slim.drop("probes"), every
+    return slim, every
 
 
-def _prefixes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Prefixes]:
-    """(doc_id, n_shingles, node) of every row, and the order with the shingles that more than OFTEN sets have in their hash-ordered prefix last."""
+def _prefixes(docs: DataFrame, k: int, percent: int, paths: list[str]) -> tuple[DataFrame, Prefixes]:
+    """The described rows, and the order with the shingles that more than OFTEN sets have in their hash-ordered prefix last."""
     order = Prefixes(percent)
 
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, a, z, _, edges, nodes in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(a, z - a), pa.array(np.diff(edges), pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "n_shingles", "node"])
+    def prefix(prints: np.ndarray, edges: np.ndarray) -> pa.Array:
+        row, _, _, sig = order.signatures(prints, edges)
+        return _lists(row, len(edges) - 1, pa.array(sig.view(np.int64)))
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, prints, edges, _ in _sets(batches, k):
-            sig, f = np.unique(order.signatures(prints, edges)[3], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(f.astype(np.int64))], ["sig", "f"])
-
-    met = docs.mapInArrow(counts, "sig long, f long").groupBy("sig").agg(F.sum("f").alias("f")).filter(F.col("f") > OFTEN)
+    slim = _described(docs, k, prefix, "array<long>", paths)
+    met = slim.select(F.explode("extra").alias("sig")).groupBy("sig").agg(F.count("*").alias("f")).filter(F.col("f") > OFTEN)
     met = met.orderBy(F.col("f").desc(), "sig").limit(MOST).collect()
     last = Prefixes(percent)
     last.put_last(np.array([r["sig"] for r in met], np.int64).view(np.uint64), np.array([r["f"] for r in met], np.int64))
-    return cut(docs.mapInArrow(names, "doc_id long, n_shingles long, node long")), last
+    return slim, last
 
 
-def link_nodes(docs: DataFrame, k: int = 3, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, node) of every row, and (node, root) of the nodes that verified links connect."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    slim, order = _segments(docs, k) if percent == PERCENT else _prefixes(docs, k, percent)
-    shape = spark.sparkContext.broadcast(order)
+def _buckets(docs: DataFrame, k: int, order: Schemes | Prefixes, paths: list[str]) -> DataFrame:
+    """(sig, node) of the signatures that several nodes have."""
+    shape = docs.sparkSession.sparkContext.broadcast(order)
 
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schemes, seen = shape.value, set()
         for number, (_, _, _, prints, edges, nodes) in enumerate(_sets(batches, k)):
             row, _, _, sig = schemes.signatures(prints, edges)
@@ -274,91 +421,120 @@ def link_nodes(docs: DataFrame, k: int = 3, percent: int = PERCENT) -> tuple[Dat
                     seen.add(x)
                     fresh[i] = True
             keep = fresh[row]
-            sig, node, n = sig[keep].view(np.int64), np.array(nodes, np.int64)[row[keep]], np.diff(edges)[row[keep]].astype(np.int32)
-            order = np.lexsort((node, sig))
-            sig, node, n = sig[order], node[order], n[order]
+            sig, node = sig[keep].view(np.int64), np.array(nodes, np.int64)[row[keep]]
+            by = np.lexsort((node, sig))
+            sig, node = sig[by], node[by]
             start = np.ones(len(sig), bool)
             start[1:] = sig[1:] != sig[:-1]
             group = np.cumsum(start) - 1
             often = np.bincount(group)[group] > 8 if len(sig) else np.zeros(0, bool)
+            # Signatures met often in one task are dealt out again; their least nodes meet in the plain bucket.
             salt = np.where(often, 1 + (number * 7919 + (int(node[0]) if len(node) else 0)) % 4096, 0)
             lead = often & start
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig, sig[lead]])), pa.array(np.concatenate([node, node[lead]])), pa.array(np.concatenate([n, n[lead]])), pa.array(np.concatenate([salt, np.zeros(int(lead.sum()), np.int64)]).astype(np.int32))], ["sig", "node", "n", "salt"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig, sig[lead]])), pa.array(np.concatenate([node, node[lead]])), pa.array(np.concatenate([salt, np.zeros(int(lead.sum()), np.int64)]).astype(np.int32))], ["sig", "node", "salt"])
 
-    rows = docs.mapInArrow(second, "sig long, node long, n int, salt int")
+    rows = docs.mapInArrow(index, "sig long, node long, salt int")
     bucket = Window.partitionBy("sig", "salt").orderBy("node")
     whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("least", F.first("node").over(bucket)).withColumn("_most", F.last("node").over(whole)).withColumn("_last", F.lag("node").over(bucket))
-    rows = rows.filter((F.col("least") != F.col("_most")) & (F.col("_last").isNull() | (F.col("_last") != F.col("node"))))
-    buckets = cut(rows.select("sig", "node", "n"))
-    # A node that shares its parts with many is likely what the others were copied from: it is tried first.
-    often = buckets.join(buckets.groupBy("sig").agg(F.count("*").alias("f")), "sig").groupBy("node").agg(F.sum("f").alias("p"))
-    buckets = cut(buckets.join(often, "node"))
-    names = buckets.select("node").distinct()
-    # One document's text stands for each node that shares a bucket with another.
-    stand = slim.filter(F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(names, "node", "left_semi")
-
-    def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = rows.withColumn("_least", F.first("node").over(bucket)).withColumn("_most", F.last("node").over(whole)).withColumn("_before", F.lag("node").over(bucket))
+    rows = rows.filter((F.col("_least") != F.col("_most")) & (F.col("_before").isNull() | (F.col("_before") != F.col("node"))))
+    return cut(rows.select("sig", "node").distinct(), paths)
+
+
+def link_nodes(docs: DataFrame, k: int = 3, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n_shingles, node) of every row, and (node, root) of the nodes that verified links connect. `key` is a hash of the text."""
+    spark = docs.sparkSession
+    temporary: list[str] = []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    slim, order = _segments(docs, k, percent, []) if percent >= PERCENT else _prefixes(docs, k, percent, [])
+    buckets = _buckets(docs, k, order, temporary)
+    # Nodes that share a signature with others: their sizes and sketches.
+    about = slim.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").cast("int").alias("n"), F.first("sketch").alias("sketch"))
+    about = cut(about, temporary)
+    # Few signatures are shared by more rows than fit a block.
+    hot = cut(buckets.groupBy("sig").agg(F.count("*").alias("m")).filter(F.col("m") > BLOCK), temporary)
+
+    def cells(rows: DataFrame, by: list[str]) -> DataFrame:
+        """Rows with sizes and sketches, each group together and in order."""
+        full = rows.join(about, "node")
+        return full.select(*by, "node", "n", "root", "sketch", *[c for c in rows.columns if c not in (*by, "node", "root")]).repartition(*by).sortWithinPartitions(*by, "node")
+
+    def blocks(m: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(m / BLOCK)).cast("int")
+
+    def block_of(n: Column, seed: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), "node"), n).cast("int")
+
+    # In each block, every node is paired with its hub; over all its blocks it is tested with the best of these only.
+    dealt = buckets.join(hot, "sig", "left").withColumn("block", block_of(blocks(F.coalesce("m", F.lit(1))), 0)).select("sig", "block", "node", F.col("node").alias("root"))
+    offered = cut(cells(dealt, ["sig", "block"]).mapInArrow(hubs(percent), "sig long, node long, partner long, degree long"), temporary)
+    # From here on only rows count that some other row of their bucket is near to, and those of buckets that were cut into blocks.
+    live = offered.select("sig", "node").unionByName(buckets.join(hot, "sig", "left_semi").select("sig", "node")).distinct()
+    live = cut(live, temporary)
+    names = live.select("node").distinct()
+    # One row's text stands for each node: that of its least doc_id; rows without ids are all looked at.
+    stand = slim.filter(F.col("doc_id").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("s")).join(names, "node", "left_semi").select("s.*")
+    texts = docs.filter("doc_id is not null").join(stand, ["doc_id", "key"], "left_semi").unionByName(docs.filter("doc_id is null"))
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, prints, edges, nodes in _sets(batches, k):
-            parts = [(prints[edges[i] : edges[i + 1]] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for i in range(len(nodes))]
+            parts = [prints[edges[i] : edges[i + 1]].astype("<u8").tobytes() for i in range(len(nodes))]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(parts, pa.binary())], ["node", "parts"])
 
-    texts = docs.join(stand.select("doc_id"), "doc_id", "left_semi")
-    sets = cut(texts.mapInArrow(third, "node long, parts binary").dropDuplicates(["node"]))
+    sets = cut(texts.select("text").mapInArrow(members, "node long, parts binary").join(names, "node", "left_semi").dropDuplicates(["node"]), temporary)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = np.zeros(b.num_rows, bool)
             for i, (x, y) in enumerate(zip(b.column("x"), b.column("y"), strict=True)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint8).reshape(-1, 6) for v in (x, y))
-                wide = np.zeros((len(x) + len(y), 8), np.uint8)
-                wide[: len(x), :6], wide[len(x) :, :6] = x, y
-                v = np.sort(wide.view("<u8").ravel())
+                v = np.concatenate([np.frombuffer(s.as_buffer(), "<u8") for s in (x, y)])
+                v.sort(kind="stable")
                 common = int((v[1:] == v[:-1]).sum())
                 ok[i] = 100 * common >= percent * (len(v) - common)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok)], ["a", "b", "ok"])
 
-    def may_link(n: str, m: str) -> Column:
-        return 100 * F.least(n, m) >= percent * F.greatest(n, m)
-
     def tested(pairs: DataFrame) -> DataFrame:
         p = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        return cut(p.mapInArrow(verify, "a long, b long, ok boolean"))
-
-    def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-    centre = buckets.groupBy("sig").agg(F.max(F.struct("p", F.col("node").alias("a"), F.col("n").alias("na"))).alias("c")).select("sig", "c.a", "c.na")
-    first_pairs = buckets.join(centre, "sig").filter((F.col("a") != F.col("node")) & may_link("n", "na")).select("a", F.col("node").alias("b"))
-    done = tested(ordered(first_pairs))
-    roots = components(done.filter("ok").select("a", "b"))
-    for turn in range(6):
-        m = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # Buckets whose nodes are not all connected, and how many pairs are open in them.
-        per = m.groupBy("sig", "root").agg(F.count("*").alias("c")).groupBy("sig").agg(F.count("*").alias("roots"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"))
-        per = per.filter("roots > 1").select("sig", (F.col("all") * F.col("all") - F.col("same")).alias("open"))
-        left = cut(m.join(per, "sig"))
-        rows_left = left.count()
-        if not rows_left:
-            break
-        count = left.groupBy("sig").agg(F.first("open").alias("o")).agg(F.sum("o")).first()[0]
-        every_pair = turn == 5 or count <= 20_000 + 12 * rows_left
-        x = left.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "p", "open")
-        y = left.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-        if not every_pair:  # first the likeliest originals of each bucket's components, other ones in every turn
-            of_root = F.row_number().over(Window.partitionBy("sig", "ra").orderBy(F.col("p").desc(), F.xxhash64(F.lit(turn), "a")))
-            x = x.withColumn("_i", of_root).filter(F.col("_i") == 1)
-            x = x.withColumn("_j", F.row_number().over(Window.partitionBy("sig").orderBy(F.xxhash64(F.lit(turn), "a") if turn % 2 else F.col("p").desc(), "a"))).filter((F.col("_j") <= 3) | (F.col("open") <= 12))
-        met = (F.col("x.sig") == F.col("y.sig")) & (F.col("ra") != F.col("rb")) & may_link("na", "nb")
-        met = met & (F.col("a") > F.col("b")) if every_pair else met
-        pairs = ordered(x.alias("x").join(y.alias("y"), met).select("a", "b"))
-        new = tested(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))
+        return cut(p.mapInArrow(verify, "a long, b long, ok boolean"), temporary)
+
+    def best(offers: DataFrame) -> DataFrame:
+        chosen = offers.groupBy("node").agg(F.max(F.struct("degree", (-F.col("partner")).alias("p"))).alias("c")).select("node", (-F.col("c.p")).alias("partner"))
+        return chosen.select(F.greatest("node", "partner").alias("a"), F.least("node", "partner").alias("b")).distinct()
+
+    def rooted(roots: DataFrame) -> DataFrame:
+        """Live rows of buckets whose nodes are not all connected: (sig, node, root, n_roots, m, major)."""
+        m = live.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+        per = m.groupBy("sig", "root").agg(F.count("*").alias("c")).groupBy("sig").agg(F.count("*").alias("n_roots"), F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("t"))
+        return m.join(per.filter("n_roots > 1").select("sig", "n_roots", "m", F.col("t.root").alias("major"), F.col("t.c").alias("in_major")), "sig")
+
+    done = tested(best(offered))
+    roots = components(done.filter("ok"))
+    for turn in range(1, 5):
+        # The best connected node of each component in a bucket stands for it, and meets the other components' ones.
+        often = done.filter("ok").select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+        open_rows = rooted(roots).join(often, "node", "left")
+        heads = open_rows.groupBy("sig", "root").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("l"), F.xxhash64(F.lit(turn), "node").alias("h"), "node")).alias("t"), F.first("n_roots").alias("n_roots"))
+        heads = heads.select("sig", "root", F.col("t.node").alias("node"), "n_roots")
+        heads = heads.withColumn("block", block_of(blocks(F.col("n_roots")), turn)).drop("n_roots")
+        more = cells(heads, ["sig", "block"]).mapInArrow(hubs(percent), "sig long, node long, partner long, degree long")
+        new = tested(best(more).join(done.select("a", "b"), ["a", "b"], "left_anti"))
         done = done.unionByName(new)
-        if not new.filter("ok").isEmpty():
-            roots = components(done.filter("ok").select("a", "b"))
-        if every_pair:
+        if new.filter("ok").isEmpty():
             break
-    return slim, roots
+        roots = components(done.filter("ok"))
+    # What may still link: rows outside the largest component of their bucket, against all the bucket's rows.
+    rest = rooted(roots).withColumn("minor", F.col("root") != F.col("major"))
+    rest = rest.withColumn("xs", blocks(F.col("m") - F.col("in_major"))).withColumn("ys", blocks(F.col("m")))
+    one = rest.filter("m <= {}".format(BLOCK)).select("sig", F.lit(0).alias("xb"), F.lit(0).alias("yb"), "node", "root", "minor", F.lit(0).alias("side"))
+    many = rest.filter("m > {}".format(BLOCK))
+    x = many.filter("minor").select("sig", block_of(F.col("xs"), 8).alias("xb"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("yb"), "node", "root", "minor", F.lit(1).alias("side"))
+    y = many.select("sig", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("xb"), block_of(F.col("ys"), 9).alias("yb"), "node", "root", "minor", F.lit(2).alias("side"))
+    pairs = cells(one.unionByName(x).unionByName(y), ["sig", "xb", "yb"]).mapInArrow(crossing(percent), "a long, b long").distinct()
+    new = tested(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))
+    if not new.filter("ok").isEmpty():
+        roots = components(done.unionByName(new).filter("ok"))
+    remove(spark, temporary)
+    return slim.drop("extra", "sketch"), roots
 
 
 def join(docs: DataFrame, k: int = 3, percent: int = PERCENT) -> DataFrame:
@@ -373,9 +549,17 @@ def join(docs: DataFrame, k: int = 3, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 3, percent: int = PERCENT) -> DataFrame:
-    """The documents, one of each component: the row of its smallest doc_id (of repeated ids, the one whose text hashes lowest)."""
-    kept = join(docs, k, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    known = docs.join(kept.filter("doc_id is not null"), "doc_id", "left_semi").select(*docs.columns)
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[F.col(c) for c in docs.columns if c not in ("doc_id", "text") and docs.schema[c].dataType.simpleString() in ("string", "bigint", "int", "double")])
-    known = known.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
-    return known.unionByName(docs.filter("doc_id is null"))
+    """The documents, one row of each component: that of its smallest doc_id (of repeated ids, the one whose text hashes lowest; without any id, likewise).
+
+    Rows without words are components of their own and all stay."""
+    slim, roots = link_nodes(docs, k, percent)
+    roots = roots.withColumnRenamed("node", "_node")
+    named = slim.filter("n_shingles > 0").join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("_id"), F.col("key").alias("_key")))
+    kept = named.groupBy("root").agg(least.alias("t")).select("t._id", "t._key")
+    worded = F.coalesce(F.col("text").rlike(WORD_PATTERN), F.lit(False))
+    marked = docs.filter(worded).select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_i"), F.xxhash64("text").alias("_k"))
+    known = marked.join(kept, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")))
+    others = [F.col("_row").getField(c) for c in docs.columns if c not in ("doc_id", "text") and docs.schema[c].dataType.simpleString() in ("string", "bigint", "int", "double")]
+    known = known.withColumn("_nth", F.row_number().over(Window.partitionBy("_i", "_k").orderBy(F.xxhash64(*others) if others else F.lit(1)))).filter("_nth = 1")
+    return known.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]).unionByName(docs.filter(~worded))

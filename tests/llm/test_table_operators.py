@@ -71,9 +71,9 @@ def test_jaccard_of_odd_tables(spark):
 
 def test_segments_catch_every_pair():
     rng = np.random.default_rng(0)
-    s = jaccard.Schemes(400)
+    s = jaccard.Schemes(90, 400)
     s.allotted = np.where(rng.random(len(s.allotted)) < 0.3, 2, 1).astype(np.int8)
-    for b in range(len(s.low)):
+    for b in range(s.planned):
         a, z = s.offset[b], s.offset[b + 1]
         spare = int(s.allotted[a:z].sum()) - int(s.differ[b]) - 1
         for i in rng.permutation(np.arange(a, z)):
@@ -81,7 +81,7 @@ def test_segments_catch_every_pair():
                 spare -= int(s.allotted[i])
                 s.allotted[i] = 0
     for _ in range(300):
-        r = int(rng.integers(9, 390))
+        r = int(rng.integers(9, 900))  # bands beyond the planned ones too
         x = rng.integers(0, 2**63, r, dtype=np.uint64)
         drop = int(rng.integers(0, r // 10 + 1))
         y = np.unique(np.concatenate([x[drop:], rng.integers(0, 2**63, int(rng.integers(0, drop + 1)), dtype=np.uint64)]))
@@ -93,6 +93,55 @@ def test_segments_catch_every_pair():
         assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
 
 
+def test_sketches_never_differ_in_more_bits_than_sets_do_in_shingles():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 60, 300, 3000):
+        x = rng.integers(0, 2**63, n, dtype=np.uint64)
+        y = np.concatenate([x[: n - n // 7], rng.integers(0, 2**63, n // 5, dtype=np.uint64)])
+        a, b = jaccard.sketches(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]))
+        assert int(np.bitwise_count(a ^ b).sum()) <= len(np.setxor1d(x, y))
+    assert not jaccard.sketches(np.zeros(0, np.uint64), np.array([0, 0])).any()
+
+
+def test_near_pairs_of_small_and_large_groups():
+    rng = np.random.default_rng(4)
+    start = np.cumsum([0, 1, 2, 64, 65, 300, 3])
+    m = int(start[-1])
+    n, root = rng.integers(90, 110, m), rng.integers(0, 40, m)
+    flips = (np.uint64(1) << rng.integers(0, 63, (m, 8)).astype(np.uint64)) * (rng.random((m, 8)) < 0.7)
+    sketch = rng.integers(0, 2**63, (1, 8), dtype=np.uint64) ^ flips.astype(np.uint64)
+    i, j = jaccard.near_pairs(start, n, sketch, root, 90)
+    group = np.searchsorted(start, np.arange(m), side="right")
+    want = {(a, b) for a in range(m) for b in range(a + 1, m) if group[a] == group[b] and jaccard.near(np.array([a]), np.array([b]), n, sketch, root, 90)[0]}
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(i) == len(want) > 100
+
+
+@pytest.mark.parametrize("block", [4, 16])
+def test_jaccard_with_buckets_over_many_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(block)
+    rows = list(enumerate(near_copies(rng, 2, 70, (100, 120)) + near_copies(rng, 3, 5, (40, 60)), 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in jaccard.join(df).collect()) == brute_components(rows)
+
+
+def test_jaccard_of_very_long_texts(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randint(0, 10**9)}" for _ in range(300_000)]
+    near = [f"v{i}" if i % 80 == 0 else w for i, w in enumerate(base)]  # 3 of 80 shingles differ
+    far = [f"v{i}" if i % 40 == 0 else w for i, w in enumerate(base)]
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(x + "x" for x in far)), (4, " ".join(far))], "doc_id long, text string")
+    assert [(r["doc_id"], r["component_id"]) for r in jaccard.join(df).orderBy("doc_id").collect()] == [(1, 1), (2, 1), (3, 3), (4, 4)]
+
+
+def test_keep_one_keeps_texts_of_repeated_and_missing_ids(spark):
+    one, two = "a b c d e f", "q r s t u v"
+    rows = [(1, one, "x"), (1, two, "x"), (1, two, "y"), (2, one, "x"), (None, one, "x"), (None, "k l m n", "x"), (None, "k l m n", "x"), (3, None, "x"), (3, " ", "x"), (None, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    got = sorted(((r["doc_id"], r["text"]) for r in jaccard.keep_one(df).collect()), key=str)
+    assert got == sorted([(1, one), (1, two), (None, "k l m n"), (3, None), (3, " "), (None, None)], key=str)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, i) for i in range(101, 120)]
     got = {r["node"]: r["root"] for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
