@@ -1,16 +1,22 @@
-"""Column expressions over text; all run inside the JVM."""
+"""Column expressions over text. All run inside the JVM but for the three that need Unicode's normal forms, which are vectorised."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from unicodedata import combining, normalize
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 # Language codes of the catalogue and what they are called in recognition tools.
 TOOL_LANGUAGES = {"pt": "por", "es": "spa", "en": "eng", "fr": "fra", "de": "deu", "it": "ita"}
 TOKEN = "[0-9a-zà-ÿ]+"
 EDGE_PUNCTUATION = ".,;:!?()[]\"'“”«»—–-…¬"
+_TOKEN = re.compile(TOKEN)
 
 
 def col(c: Column | str) -> Column:
@@ -51,7 +57,12 @@ def truncate(c: Column | str, size: int) -> Column:
 
 
 def safe_file_name(c: Column | str) -> Column:
-    return F.concat(F.regexp_replace(F.regexp_replace(col(c), r"[^\p{L}\p{N}_\-]+", "_"), "^_+|_+$", ""), F.lit(".txt"))
+    return F.concat(safe_name(c), F.lit(".txt"))
+
+
+def safe_name(c: Column | str) -> Column:
+    """Runs of anything but letters, digits, underscores and hyphens one underscore, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(col(c), r"[^\p{L}\p{N}_\-]+", "_"), "^_+|_+$", "")
 
 
 def tool_language(c: Column | str) -> Column:
@@ -65,17 +76,43 @@ def tokens(c: Column | str, least: int = 2) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(col(c)), F.lit(TOKEN), 0), lambda t: F.length(t) >= least)
 
 
-def words(c: Column | str) -> Column:
-    """Words of letters only, punctuation off their ends."""
-    edge = "[" + "".join("\\" + x if x in "[]-" else x for x in EDGE_PUNCTUATION) + "]+"
-    parts = F.transform(F.split(col(c), r"(?U)\s+"), lambda w: F.regexp_replace(w, f"^{edge}|{edge}$", ""))
-    return F.filter(parts, lambda w: w.rlike(r"^\p{L}+$"))
+def token_list(text: str, least: int = 2) -> list[str]:
+    """tokens() of one text, for functions that work through whole batches."""
+    return [t for t in _TOKEN.findall(text.lower()) if len(t) >= least]
+
+
+def word_list(text: str) -> list[str]:
+    """Words of letters only, in composed form, punctuation off their ends."""
+    return [w for w in (x.strip(EDGE_PUNCTUATION) for x in normalize("NFC", text).split()) if w.isalpha()]
+
+
+def bare(text: str) -> str:
+    """Letters without their marks."""
+    return "".join(c for c in normalize("NFD", text) if not combining(c))
+
+
+@pandas_udf(StringType())
+def composed(texts: pd.Series) -> pd.Series:
+    """Unicode's composed form (NFC)."""
+    return texts.map(lambda t: normalize("NFC", t), na_action="ignore")
+
+
+@pandas_udf(ArrayType(StringType()))
+def decomposed(texts: pd.Series) -> pd.Series:
+    """Each text of a list without its case, in compatibility decomposed form (NFKD)."""
+    return texts.map(lambda ts: [None if t is None else normalize("NFKD", t.casefold()) for t in ts], na_action="ignore")
+
+
+@pandas_udf(ArrayType(StringType()))
+def words(texts: pd.Series) -> pd.Series:
+    """word_list() of each text; null for null."""
+    return texts.map(word_list, na_action="ignore")
 
 
-def strip_accents(c: Column | str) -> Column:
-    """Latin letters without their marks (fixed pairs of the languages served)."""
-    marked, plain = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ", "aaaaaaeeeeiiiiooooouuuucnyyAAAAAAEEEEIIIIOOOOOUUUUCNY"
-    return F.translate(col(c), marked, plain)
+@pandas_udf(StringType())
+def strip_accents(texts: pd.Series) -> pd.Series:
+    """Letters without their marks, whatever the script."""
+    return texts.map(bare, na_action="ignore")
 
 
 def only_accent_missing(word: Column | str, suggestion: Column | str) -> Column:

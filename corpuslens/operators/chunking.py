@@ -1,92 +1,102 @@
-"""Cutting texts into passages by greedy packing, as folds over arrays inside the JVM."""
+"""Cutting texts into passages by greedy packing, a batch of documents at a time."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as fn
-
 PARAGRAPHS = r"\n\s*\n"
+SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+PASSAGE = "chunk_id string, texto string, documento_origem string, titulo_pagina string, chunk_index int"
 
+Strategy = Callable[..., list[str]]
 
-def _state(done: Column, cur: Column) -> Column:
-    return F.struct(done.alias("done"), cur.alias("cur"))
-
-
-def _closed(a: Column) -> Column:
-    """The finished pieces with the open one, if any."""
-    return F.when(F.length(a["cur"]) > 0, F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"])
-
-
-def _add(a: Column, x: Column, most: int, separator: str) -> Column:
-    fits = F.length(a["cur"]) + len(separator) + F.length(x) <= most
-    return (
-        F.when(F.length(a["cur"]) == 0, _state(a["done"], x))
-        .when(fits, _state(a["done"], F.concat(a["cur"], F.lit(separator), x)))
-        .otherwise(_state(F.concat(a["done"], F.array(a["cur"])), x))
-    )
 
-
-def _empty() -> Column:
-    return _state(F.array().cast("array<string>"), F.lit(""))
-
-
-def pack(items: Column, most: int, separator: str) -> Column:
+def pack(items: Iterable[str], most: int, separator: str) -> list[str]:
     """Join neighbours with the separator as long as they fit; an item that is too long stays alone."""
-    return F.aggregate(items, _empty(), lambda a, x: _add(a, x, most, separator), _closed)
-
-
-def split_giant(text: Column, most: int) -> Column:
+    done, held, size = [], [], 0
+    for x in items:
+        if size and size + len(separator) + len(x) > most:
+            done.append(separator.join(held))
+            held, size = [], 0
+        if size:
+            held.append(x)
+            size += len(separator) + len(x)
+        else:
+            held, size = [x], len(x)
+    return [*done, separator.join(held)] if size else done
+
+
+def split_giant(text: str, most: int) -> list[str]:
     """An oversized paragraph: by sentences, then words, then fixed slices."""
+    pieces: list[str] = []
+    for sentence in pack(SENTENCE_END.split(text), most, " "):
+        for run in [sentence] if len(sentence) <= most else pack(sentence.split(" "), most, " "):
+            pieces += [run] if len(run) <= most else [run[i : i + most] for i in range(0, len(run), most)]
+    return [p for p in map(str.strip, pieces) if p]
 
-    def finer(pieces: Column, cutter: Callable[[Column], Column]) -> Column:
-        return F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) > most, cutter(p)).otherwise(F.array(p))))
-
-    def slices(p: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0).cast("int"), F.floor((F.length(p) - 1) / most).cast("int")), lambda i: F.substring(p, i * most + 1, F.lit(most)))
-
-    by_sentence = pack(F.split(text, r"(?<=[.!?])\s+"), most, " ")
-    by_word = finer(by_sentence, lambda p: pack(F.split(p, " "), most, " "))
-    return F.filter(F.transform(finer(by_word, slices), fn.strip), lambda p: p != "")
 
+def paragraphs(body: str, pattern: str = PARAGRAPHS) -> list[str]:
+    return [p.strip() for p in re.split(pattern, body)]
 
-def paragraphs(body: Column, pattern: str = PARAGRAPHS) -> Column:
-    return F.transform(F.split(body, pattern), fn.strip)
 
-
-def by_paragraph(body: Column, least: int = 60, most: int = 2000, pattern: str = PARAGRAPHS) -> Column:
+def by_paragraph(body: str, least: int = 60, most: int = 2000, pattern: str = PARAGRAPHS) -> list[str]:
     """Short paragraphs go, long ones are split; pieces that come out short go too."""
-    each = F.transform(
-        F.filter(paragraphs(body, pattern), lambda p: F.length(p) >= least),
-        lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(split_giant(p, most)),
-    )
-    return F.filter(F.flatten(each), lambda p: F.length(p) >= least)
+    fit = (p for p in paragraphs(body, pattern) if len(p) >= least)
+    return [x for p in fit for x in ([p] if len(p) <= most else split_giant(p, most)) if len(x) >= least]
 
 
-def grouped(body: Column, least: int = 60, most: int = 2000, pattern: str = PARAGRAPHS) -> Column:
+def grouped(body: str, least: int = 60, most: int = 2000, pattern: str = PARAGRAPHS) -> list[str]:
     """Neighbouring paragraphs share a passage while they fit; an oversized one closes it and comes apart by itself."""
+    out: list[str] = []
+    run: list[str] = []
+    for p in filter(None, paragraphs(body, pattern)):
+        if len(p) <= most:
+            run.append(p)
+            continue
+        out += pack(run, most, "\n\n") + split_giant(p, most)
+        run = []
+    return [x for x in out + pack(run, most, "\n\n") if len(x) >= least]
 
-    def step(a: Column, p: Column) -> Column:
-        return F.when(F.length(p) > most, _state(F.concat(_closed(a), split_giant(p, most)), F.lit(""))).otherwise(_add(a, p, most, "\n\n"))
-
-    filled = F.filter(paragraphs(body, pattern), lambda p: p != "")
-    return F.filter(F.aggregate(filled, _empty(), step, _closed), lambda p: F.length(p) >= least)
 
-
-STRATEGIES: dict[str, Callable[..., Column]] = {"paragrafo": by_paragraph, "paragrafo_agrupado": grouped}
+STRATEGIES: dict[str, Strategy] = {"paragrafo": by_paragraph, "paragrafo_agrupado": grouped}
 
 
 def chunks(docs: DataFrame, strategy: str = "paragrafo_agrupado", least: int = 60, most: int = 2000, pattern: str = PARAGRAPHS) -> DataFrame:
-    """(documento_origem, titulo_pagina, corpo) -> one row a passage, numbered from 0 in its document."""
+    """(documento_origem, titulo_pagina, corpo) -> one row a passage, numbered from 0 in its document; a null body has none."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; known: {', '.join(sorted(STRATEGIES))}")
-    pieces = docs.select("documento_origem", "titulo_pagina", F.posexplode(STRATEGIES[strategy](F.col("corpo"), least, most, pattern)).alias("chunk_index", "texto"))
-    return pieces.select(F.concat_ws("::", "documento_origem", F.col("chunk_index").cast("string")).alias("chunk_id"), "texto", "documento_origem", "titulo_pagina", "chunk_index")
+    cutter = STRATEGIES[strategy]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                names, texts = b.column(0).to_pylist(), []
+                ids, row, nth = [], [], []
+                for i, body in enumerate(b.column(2).to_pylist()):
+                    found = cutter(body, least, most, pattern) if body is not None else []
+                    head = "" if names[i] is None else f"{names[i]}::"
+                    texts += found
+                    ids += [f"{head}{k}" for k in range(len(found))]
+                    nth += range(len(found))
+                    row += [i] * len(found)
+                take = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string()), b.column(0).take(take), b.column(1).take(take), pa.array(nth, pa.int32())], ["chunk_id", "texto", "documento_origem", "titulo_pagina", "chunk_index"])
+
+    return docs.select(F.col("documento_origem").cast("string"), F.col("titulo_pagina").cast("string"), F.col("corpo").cast("string")).mapInArrow(run, PASSAGE)
 
 
 def statistics(passages: DataFrame, most: int = 2000) -> DataFrame:
     n = F.length("texto")
     return passages.agg(F.count("*").alias("trechos"), F.count_distinct("documento_origem").alias("documentos"), F.min(n).alias("menor"), F.floor(F.sum(n) / F.count("*")).alias("media"), F.max(n).alias("maior"), F.count_if(n > most).alias("acima_do_teto"))
+
+
+def oversized(passages: DataFrame, most: int = 2000) -> DataFrame:
+    """(chunk_id, n) of the passages over the limit, longest first."""
+    n = F.length("texto")
+    return passages.select("chunk_id", n.alias("n")).filter(F.col("n") > most).orderBy(F.col("n").desc(), "chunk_id")

@@ -103,3 +103,72 @@ def consolidated(turns: DataFrame, states: str = "estado") -> DataFrame:
     said = F.when((F.col("autor") == "pessoa") & (F.col(states) == "problematizacao"), F.struct("ordem", "texto"))
     g = turns.groupBy("sessao_id").agg(F.first("pergunta_inicial").alias("q"), F.array_sort(F.collect_list(said)).alias("a"))
     return g.select("sessao_id", F.array_join(F.concat(F.array("q"), F.filter(F.transform("a", lambda x: fn.strip(x["texto"])), lambda x: x != "")), "\n").alias("consulta"))
+
+
+# ── decisions around a provider's answer (null: the provider failed) ──
+
+
+def rewrite(question: Column, remembered: Column, output: Column) -> Column:
+    """What goes to the search: the question as it is without history, when the provider failed or gave nothing usable; else the rewritten one."""
+    new = rewritten(output, question)
+    reason = (
+        F.when(remembered <= 0, F.lit("primeira pergunta da conversa"))
+        .when(output.isNull(), F.lit("o modelo não respondeu"))
+        .when(new == "", F.lit("o modelo não devolveu reescrita aproveitável"))
+        .otherwise(F.lit(""))
+    )
+    return fn.let(F.struct(reason.alias("r"), new.alias("n")), lambda s: F.struct(F.when(s["r"] == "", s["n"]).otherwise(question).alias("consulta"), (s["r"] == "").alias("veio_do_modelo"), s["r"].alias("motivo")))
+
+
+def decompose(question: Column, output: Column, on: Column, splitting: Column, language: Column, least: int = 25, most: int = 4, with_original: bool = True) -> Column:
+    """The sub-questions to search, and why there is only the question itself if so. Short questions aren't worth splitting, but are worth translating."""
+    subs = F.when(splitting, sub_questions(output, question, most)).otherwise(sub_questions(output, question, 1))
+    reason = (
+        F.when(~on, F.lit("mediação desligada"))
+        .when(~splitting & (language == ""), F.lit("nada a preparar: sem decomposição nem tradução"))
+        .when(splitting & (language == "") & (F.length(fn.strip(question)) < least), F.lit("pergunta curta demais para valer uma reformulação"))
+        .when(output.isNull(), F.lit("o modelo não respondeu"))
+        .when(F.size(subs) == 0, F.lit("o modelo não devolveu consulta legível"))
+        .otherwise(F.lit(""))
+    )
+
+    def tree(s: Column) -> Column:
+        whole = F.concat(F.array(question), s["s"]) if with_original else s["s"]
+        return F.struct(F.when(s["r"] == "", whole).otherwise(F.array(question)).alias("subconsultas"), (s["r"] == "").alias("veio_do_modelo"), s["r"].alias("motivo"))
+
+    return fn.let(F.struct(reason.alias("r"), F.coalesce(subs, F.array().cast("array<string>")).alias("s")), tree)
+
+
+# ── a session's states, as a fold over its events ──
+
+EVENT = "struct<ordem:bigint,autor:string,texto:string,trechos:int>"
+STATE = "struct<estado:string,rodadas:int,consulta:string>"
+
+
+def after(state: Column, event: Column, rounds: int, problematise: bool) -> Column:
+    """The state after one event. A person's message opens the session or answers; the system's returns questions (a round), or
+    once there is something to search, the answer (RESPOSTA with passages, ENCERRADA without); after an answer it closes."""
+    said = fn.strip(F.coalesce(event["texto"], F.lit("")))
+    now = lambda name, done=None, query=None: F.struct(F.lit(name).alias("estado"), (state["rodadas"] if done is None else done).alias("rodadas"), (state["consulta"] if query is None else query).alias("consulta"))
+    at = lambda name: state["estado"] == name
+    person = event["autor"] == "pessoa"
+    asked = F.coalesce(event["texto"], F.lit(""))
+    direct = F.lit(not problematise) | (kind_by_cues(asked) == "duvida_factual")
+    skip = (said == "") | F.lower(said).isin(*ESCAPES)
+    more = F.concat(state["consulta"], F.lit("\n"), said)
+    return (
+        F.when(at("triagem") & person, F.when(direct, now("recuperacao", query=asked)).otherwise(now("problematizacao", query=asked)))
+        .when(at("problematizacao") & person, F.when(skip, now("recuperacao")).when(state["rodadas"] >= rounds, now("recuperacao", query=more)).otherwise(now("problematizacao", query=more)))
+        .when(at("problematizacao"), F.when(F.size(returned_questions(F.coalesce(event["texto"], F.lit("")))) == 0, now("recuperacao")).otherwise(now("problematizacao", done=state["rodadas"] + 1)))
+        .when(at("recuperacao") & ~person, F.when(F.coalesce(event["trechos"], F.lit(0)) > 0, now("resposta")).otherwise(now("encerrada")))
+        .when(at("resposta") & ~person, now("encerrada"))
+        .otherwise(state)
+    )
+
+
+def sessions(events: DataFrame, rounds: int = 1, problematise: bool = True) -> DataFrame:
+    """(sessao_id, ordem, autor, texto, trechos) -> each session's state after its events (sessao_id, estado, rodadas, consulta)."""
+    event = F.struct(F.col("ordem").cast("long").alias("ordem"), "autor", "texto", F.col("trechos").cast("int").alias("trechos")).cast(EVENT)
+    start = F.struct(F.lit("triagem").alias("estado"), F.lit(0).alias("rodadas"), F.lit("").alias("consulta")).cast(STATE)
+    folded = F.aggregate(F.array_sort(F.collect_list(event)), start, lambda s, e: after(s, e, rounds, problematise).cast(STATE))
+    return events.groupBy("sessao_id").agg(folded.alias("s")).select("sessao_id", "s.*")

@@ -15,14 +15,14 @@ def cost(title: Column | str, text: Column | str) -> Column:
     return fn.token_estimate(F.concat(F.lit("[Fonte 00: "), fn.col(title), F.lit("]\n"), fn.col(text), F.lit("\n\n")))
 
 
-def fit_budget(ranking: DataFrame, budget: int = WINDOW - RESERVE, overhead: int = 0) -> DataFrame:
-    """Whole passages in order until one overflows; the first always enters; a budget of 0 is off."""
+def fit_budget(ranking: DataFrame, budget: int = WINDOW - RESERVE, overhead: int | Column = 0) -> DataFrame:
+    """Whole passages in order until one overflows; the first always enters; a budget of 0 is off. `overhead` may be a column of the ranking."""
     if budget <= 0:
         return ranking
     run = Window.partitionBy("consulta_id").orderBy("posicao").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     r = ranking.withColumn("custo", cost("titulo_pagina", "texto")).withColumn("acumulado", F.sum("custo").over(run))
     first = F.min("posicao").over(Window.partitionBy("consulta_id"))
-    return r.withColumn("_first", first).filter((F.col("posicao") == F.col("_first")) | (F.col("acumulado") <= budget - overhead)).drop("_first")
+    return r.withColumn("_first", first).filter((F.col("posicao") == F.col("_first")) | (F.col("acumulado") <= F.lit(budget) - overhead)).drop("_first")
 
 
 def passages_block(ranking: DataFrame) -> DataFrame:
@@ -34,12 +34,22 @@ def passages_block(ranking: DataFrame) -> DataFrame:
     return listed.select("consulta_id", F.array_join(F.transform("l", lambda x: x["b"]), "\n\n").alias("trechos"), "n")
 
 
-def prompts(questions: DataFrame, ranking: DataFrame, sections: list[tuple[str, str]] | None = None, history: Column | None = None) -> DataFrame:
-    """One prompt a question with passages: guidance, earlier conversation if any, passages, question."""
+def prompt(question: Column | str, passages: Column | str, sections: list[tuple[str, str]] | None = None, history: Column | None = None) -> Column:
+    """Guidance, earlier conversation if any, passages, question."""
     head = "\n\n".join(f"{title.upper()}\n{text}" for title, text in sections) if sections else INSTRUCTION
     past = F.lit("") if history is None else F.when(F.trim(F.coalesce(history, F.lit(""))) == "", F.lit("")).otherwise(F.concat(F.lit("CONVERSA ANTERIOR:\n"), history, F.lit("\n\n")))
+    return F.concat(F.lit(head + "\n\n"), past, F.lit("TRECHOS RECUPERADOS:\n"), fn.col(passages), F.lit("\n\nPERGUNTA:\n"), fn.col(question))
+
+
+def overhead(question: Column | str, sections: list[tuple[str, str]] | None = None, history: Column | None = None) -> Column:
+    """The estimated tokens of a prompt without passages: what guidance, conversation and question take from the budget."""
+    return fn.token_estimate(prompt(question, F.lit(""), sections, history))
+
+
+def prompts(questions: DataFrame, ranking: DataFrame, sections: list[tuple[str, str]] | None = None, history: Column | None = None) -> DataFrame:
+    """One prompt a question with passages."""
     q = questions.join(passages_block(ranking), "consulta_id")
-    return q.select("consulta_id", F.concat(F.lit(head + "\n\n"), past, F.lit("TRECHOS RECUPERADOS:\n"), F.col("trechos"), F.lit("\n\nPERGUNTA:\n"), F.col("texto")).alias("prompt"), "n")
+    return q.select("consulta_id", prompt("texto", "trechos", sections, history).alias("prompt"), "n")
 
 
 def invalid_citations(answer: Column | str, n: Column | int) -> Column:

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from unicodedata import normalize
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
@@ -14,61 +20,90 @@ PAGE = ["handle", "arquivo", "pagina"]
 
 
 def page_words(pages: DataFrame) -> DataFrame:
-    """One row a word: page keys, idioma, pos, palavra, and whether it starts in lower or upper case."""
-    w = pages.select(*PAGE, "idioma", F.posexplode(fn.words("texto")).alias("pos", "palavra"))
-    first = F.substring("palavra", 1, 1)
-    return w.withColumn("minuscula", first.rlike(r"^\p{Ll}")).withColumn("maiuscula", first.rlike(r"^\p{Lu}"))
+    """One row a distinct word of a page: page keys, idioma, palavra, n, primeira (its first place), minuscula, maiuscula."""
+    keys = [*PAGE, "idioma"]
+    shape = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row: list[int] = []
+            names: list[str] = []
+            times: list[int] = []
+            first: list[int] = []
+            for i, text in enumerate(b.column(len(keys)).to_pylist()):
+                found = fn.word_list(text or "")
+                place = dict(zip(reversed(found), range(len(found) - 1, -1, -1), strict=True))
+                counts = Counter(found)
+                names += counts.keys()
+                times += counts.values()
+                first += [place[w] for w in counts]
+                row += [i] * len(counts)
+            take = pa.array(row, pa.int64())
+            case = [pa.array([f(w[0]) for w in names], pa.bool_()) for f in (str.islower, str.isupper)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in range(len(keys))), pa.array(names, pa.string()), pa.array(times, pa.int64()), pa.array(first, pa.int32()), *case], [*keys, "palavra", "n", "primeira", "minuscula", "maiuscula"])
+
+    return pages.select(*keys, "texto").mapInArrow(run, f"{shape}, palavra string, n long, primeira int, minuscula boolean, maiuscula boolean")
 
 
 def known(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Adds `desconhecida`: null where the language has no dictionary."""
     d = dictionary.select("idioma", "palavra").distinct().withColumn("_in", F.lit(True))
     langs = dictionary.select("idioma").distinct().withColumn("_lang", F.lit(True))
-    j = words.join(d, ["idioma", "palavra"], "left").join(langs, "idioma", "left")
+    j = words.join(d, ["idioma", "palavra"], "left").join(F.broadcast(langs), "idioma", "left")  # a row a language
     return j.withColumn("desconhecida", F.when(F.col("_lang"), F.col("_in").isNull())).drop("_in", "_lang")
 
 
-def indicators(pages: DataFrame, dictionary: DataFrame) -> DataFrame:
+def indicators(pages: DataFrame, dictionary: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """Characters, words, share out of the dictionary among lower-case words, possible names, suspects; null: not measured."""
-    w = known(page_words(pages), dictionary)
-    low = F.col("minuscula")
+    w = known(page_words(pages) if words is None else words, dictionary)
+    low, wrong, n = F.col("minuscula"), F.col("desconhecida"), F.col("n")
+    suspects = F.array_sort(F.collect_list(F.when(low & wrong, F.struct((-n).alias("n"), "primeira", "palavra"))))
     agg = w.groupBy(*PAGE).agg(
-        F.count("*").alias("palavras"),
-        F.avg(F.when(low, F.col("desconhecida").cast("double"))).alias("fora_do_dicionario"),
-        F.sum(F.when(F.col("desconhecida").isNotNull(), (F.col("maiuscula") & F.col("desconhecida")).cast("int"))).alias("possiveis_nomes"),
+        F.sum("n").alias("palavras"),
+        (F.sum(F.when(low & wrong, n).when(low & wrong.isNotNull(), 0)) / F.sum(F.when(low & wrong.isNotNull(), n))).alias("fora_do_dicionario"),
+        F.sum(F.when(F.col("maiuscula") & wrong, n).when(wrong.isNotNull(), 0)).alias("possiveis_nomes"),
+        F.transform(F.slice(suspects, 1, SUSPECTS), lambda x: x["palavra"]).alias("suspeitas"),
     )
-    wrong = w.filter(low & F.col("desconhecida")).groupBy(*PAGE, "palavra").agg(F.count("*").alias("n"), F.min("pos").alias("p"))
-    nth = Window.partitionBy(*PAGE).orderBy(F.col("n").desc(), "p")
-    top = wrong.withColumn("k", F.row_number().over(nth)).filter(F.col("k") <= SUSPECTS).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("k", "palavra"))).alias("s"))
     base = pages.select(*PAGE, "idioma", "origem", fn.useful_characters("texto").alias("caracteres"))
-    out = base.join(agg, PAGE, "left").join(top, PAGE, "left")
-    return out.select(*PAGE, "idioma", "origem", "caracteres", F.coalesce("palavras", F.lit(0)).alias("palavras"), "fora_do_dicionario", "possiveis_nomes", F.coalesce(F.transform("s", lambda x: x["palavra"]), F.array().cast("array<string>")).alias("suspeitas"))
+    out = base.join(agg, PAGE, "left")
+    return out.select(*PAGE, "idioma", "origem", "caracteres", F.coalesce("palavras", F.lit(0)).alias("palavras"), "fora_do_dicionario", "possiveis_nomes", F.coalesce("suspeitas", F.array().cast("array<string>")).alias("suspeitas"))
 
 
-def lost_accents(pages: DataFrame, dictionary: DataFrame, suggestions: DataFrame) -> DataFrame:
+def lost_accents(words: DataFrame, dictionary: DataFrame, suggestions: DataFrame) -> DataFrame:
     """How many unknown lower-case words differ from one of their first three suggestions by accents only."""
     near = suggestions.filter(F.col("ordem") < 3).filter(fn.only_accent_missing("palavra", "sugestao")).select("palavra").distinct()
-    w = known(page_words(pages), dictionary).filter("minuscula and desconhecida")
-    return w.join(near, "palavra", "left_semi").groupBy(*PAGE).agg(F.count("*").alias("acentos_perdidos"))
+    w = known(words, dictionary).filter("minuscula and desconhecida")
+    return w.join(near, "palavra", "left_semi").groupBy(*PAGE).agg(F.sum("n").alias("acentos_perdidos"))
 
 
-def language_fit(pages: DataFrame, dictionary: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+def language_fit(words: DataFrame, dictionary: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """(page, candidata, fracao): the share of lower-case words outside each candidate language's dictionary."""
     known_langs = dictionary.select("idioma").distinct().filter(F.col("idioma").isin(*languages)).withColumnRenamed("idioma", "candidata")
-    w = page_words(pages).filter("minuscula").groupBy(*PAGE, "palavra").agg(F.count("*").alias("n"))
+    w = words.filter("minuscula")
     total = w.groupBy(*PAGE).agg(F.sum("n").alias("total"))
-    hit = w.join(dictionary.select(F.col("idioma").alias("candidata"), "palavra").distinct(), "palavra").groupBy(*PAGE, "candidata").agg(F.sum("n").alias("ok"))
+    hit = w.select(*PAGE, "palavra", "n").join(dictionary.select(F.col("idioma").alias("candidata"), "palavra").distinct(), "palavra").groupBy(*PAGE, "candidata").agg(F.sum("n").alias("ok"))
     # Every measured language of every page, from the pages' side: a fixed handful of languages.
-    grid = total.withColumn("candidata", F.explode(F.array(*map(F.lit, languages)))).join(known_langs, "candidata", "left_semi")
+    grid = total.withColumn("candidata", F.explode(F.array(*map(F.lit, languages)))).join(F.broadcast(known_langs), "candidata", "left_semi")
     return grid.join(hit, [*PAGE, "candidata"], "left").select(*PAGE, "candidata", (1 - F.coalesce("ok", F.lit(0)) / F.col("total")).alias("fracao"))
 
 
-def detect_language(pages: DataFrame, dictionary: DataFrame, languages: tuple[str, ...] = LANGUAGES, below: float = 0.5) -> DataFrame:
-    """The language that misses least, if under `below`; '' otherwise; the order of `languages` breaks ties."""
-    fit = language_fit(pages, dictionary, languages).filter(F.col("fracao") < below)
+def _best(fit: DataFrame, languages: tuple[str, ...]) -> DataFrame:
+    """The candidate of each page that misses least; the order of `languages` breaks ties."""
     rank = F.array_position(F.array(*map(F.lit, languages)), F.col("candidata"))
-    best = fit.groupBy(*PAGE).agg(F.min(F.struct("fracao", rank.alias("r"), "candidata")).alias("m"))
-    return pages.select(*PAGE).join(best, PAGE, "left").select(*PAGE, F.coalesce("m.candidata", F.lit("")).alias("idioma_detectado"))
+    return fit.groupBy(*PAGE).agg(F.min(F.struct("fracao", rank.alias("r"), "candidata")).alias("m")).select(*PAGE, F.col("m.candidata").alias("candidata"))
+
+
+def detect_language(pages: DataFrame, words: DataFrame, dictionary: DataFrame, languages: tuple[str, ...] = LANGUAGES, below: float = 0.5) -> DataFrame:
+    """The language that misses least, if under `below`; '' otherwise."""
+    best = _best(language_fit(words, dictionary, languages).filter(F.col("fracao") < below), languages)
+    return pages.select(*PAGE).join(best, PAGE, "left").select(*PAGE, F.coalesce("candidata", F.lit("")).alias("idioma_detectado"))
+
+
+def better_language(measured: DataFrame, fit: DataFrame, languages: tuple[str, ...] = LANGUAGES, over: float = LANGUAGE) -> DataFrame:
+    """(page, idioma_suspeito) of pages over `over` whose words miss another language's dictionary less than half as often: the catalogue may be wrong."""
+    own = measured.filter(F.col("fora_do_dicionario") > over).select(*PAGE, "idioma", "fora_do_dicionario")
+    others = fit.join(own, PAGE).filter((F.col("candidata") != F.col("idioma")) & (F.col("fracao") < F.col("fora_do_dicionario") / 2))
+    return _best(others, languages).withColumnRenamed("candidata", "idioma_suspeito")
 
 
 def level(origin: Column, characters: Column, words: Column, share: Column, hesitant: Column) -> Column:
@@ -126,59 +161,75 @@ def report(docs: DataFrame) -> DataFrame:
 
 # ── error rates ──
 
+PUNCTUATION = re.compile(r"([^\w\s])")
 
-def canonical(c: Column | str) -> Column:
-    return fn.one_line(c)
 
+def canonical(text: str) -> str:
+    """Composed form, any whitespace to single spaces."""
+    return " ".join(normalize("NFC", text).split())
 
-def _rate(errors: Column, size: Column) -> Column:
-    return F.when(size > 0, errors / size).otherwise(F.when(errors > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
 
+def edit_distance(a: Sequence, b: Sequence) -> int:
+    """Insertions, deletions and substitutions from a to b, of characters or words alike: a whole column of the table is one
+    integer whose bits are the steps up and down it, so any length and any number of different items is exact."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    every, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    wanted, at = set(b), {}
+    for i, x in enumerate(a):
+        if x in wanted:
+            at[x] = at.get(x, 0) | 1 << i
+    up, down, distance = every, 0, len(a)
+    for x in b:
+        same = at.get(x, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        plus, minus = down | ~(diagonal | up) & every, up & diagonal
+        distance += (plus & top > 0) - (minus & top > 0)
+        plus, minus = (plus << 1 | 1) & every, minus << 1 & every
+        up, down = minus | ~(diagonal | plus) & every, plus & diagonal
+    return distance
 
-def character_error(ref: Column | str, got: Column | str) -> Column:
-    a, b = canonical(ref), canonical(got)
-    return _rate(F.levenshtein(a, b).cast("double"), F.length(a).cast("double"))
 
+def rate(errors: int, size: int) -> float:
+    return errors / size if size else float(errors > 0)
 
-def _as_characters(words: Column, both: Column) -> Column:
-    """Each word as one character of its own, so that the edit distance of texts is that of word lists."""
-    code = lambda w: F.lpad(F.hex(F.array_position(both, w) + F.when(F.array_position(both, w) > 0xD000, 0x1000).otherwise(0x100)), 4, "0")
-    return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-16BE")
 
+def rates(reference: str, candidate: str) -> tuple[float, float, float, float]:
+    """By characters, by words, by words with punctuation set apart, and by words whatever their order."""
+    r, c = canonical(reference), canonical(candidate)
+    words = (r.split(), c.split())
+    apart = tuple(PUNCTUATION.sub(r" \1 ", t).split() for t in (r, c))
+    bags = tuple(map(Counter, words))
+    unordered = max((bags[0] - bags[1]).total(), (bags[1] - bags[0]).total())
+    return rate(edit_distance(r, c), len(r)), rate(edit_distance(*words), len(words[0])), rate(edit_distance(*apart), len(apart[0])), rate(unordered, len(words[0]))
 
-def _list(c: Column) -> Column:
-    return F.filter(F.split(c, " "), lambda w: w != "")
 
+RATES = ("cer", "wer", "wer_pontuacao_separada", "wer_sem_ordem")
 
-def word_error(ref: Column | str, got: Column | str, detach: bool = False) -> Column:
-    """Up to 60,000 distinct words a pair."""
-    cut = (lambda c: F.regexp_replace(c, r"([^\p{L}\p{N}_\s])", " $1 ")) if detach else (lambda c: c)
-    a, b = (_list(canonical(cut(canonical(c)))) for c in (ref, got))
 
-    def rate(s: Column) -> Column:
-        codes = lambda ws: _as_characters(ws, s["w"])
-        return _rate(F.levenshtein(codes(s["a"]), codes(s["b"])).cast("double"), F.size(s["a"]).cast("double"))
-
-    return fn.let(F.struct(a.alias("a"), b.alias("b")), lambda s: fn.let(F.struct(s["a"].alias("a"), s["b"].alias("b"), F.array_distinct(F.concat(s["a"], s["b"])).alias("w")), rate))
-
-
-def unordered_word_error(ref: Column | str, got: Column | str) -> Column:
-    """The larger of the words missing and the words too many, as bags: sorted lists are counted run by run."""
-    both = F.struct(F.array_sort(_list(canonical(ref))).alias("a"), F.array_sort(_list(canonical(got))).alias("b"))
+def error_rates(pairs: DataFrame) -> DataFrame:
+    """(pagina, motor, referencia, candidato) -> the four rates; null texts are empty."""
+    shape = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("pagina", "motor"))
 
-    def rate(s: Column) -> Column:
-        numbered = lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("w"), (i - F.array_position(ws, w) + 1).alias("k")))
-        common = F.size(F.array_intersect(numbered(s["a"]), numbered(s["b"])))
-        return _rate((F.greatest(F.size(s["a"]), F.size(s["b"])) - common).cast("double"), F.size(s["a"]).cast("double"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [rates(r or "", c or "") for r, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([f[i] for f in found], pa.float64()) for i in range(4))], ["pagina", "motor", *RATES])
 
-    return fn.let(both, rate)
+    return pairs.select("pagina", "motor", "referencia", "candidato").mapInArrow(run, f"{shape}, {', '.join(f'{c} double' for c in RATES)}")
 
 
-def error_rates(pairs: DataFrame) -> DataFrame:
-    """(pagina, motor, referencia, candidato) -> the four rates."""
-    r, c = F.col("referencia"), F.col("candidato")
-    return pairs.select("pagina", "motor", character_error(r, c).alias("cer"), word_error(r, c).alias("wer"), word_error(r, c, True).alias("wer_pontuacao_separada"), unordered_word_error(r, c).alias("wer_sem_ordem"))
+def candidate_grid(references: DataFrame, engines: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Every reference page with every engine (a handful, checked): (pagina, motor, referencia, candidato, falta). `falta`: the engine has no such page."""
+    names = [r["motor"] for r in engines.select("motor").distinct().orderBy("motor").limit(1001).collect()]
+    if len(names) > 1000:
+        raise ValueError("more than 1000 engines")
+    grid = references.withColumn("motor", F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")))
+    out = grid.join(candidates.withColumn("_there", F.lit(True)), ["pagina", "motor"], "left")
+    return out.select("pagina", "motor", "referencia", "candidato", F.col("_there").isNull().alias("falta"))
 
 
 def mean_by_engine(rates: DataFrame) -> DataFrame:
-    return rates.groupBy("motor").agg(F.count("*").alias("paginas"), *[F.avg(c).alias(c) for c in ("cer", "wer", "wer_pontuacao_separada", "wer_sem_ordem")])
+    return rates.groupBy("motor").agg(F.count("*").alias("paginas"), *[F.avg(c).alias(c) for c in RATES])

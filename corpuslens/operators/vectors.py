@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,11 +16,28 @@ from . import lexical
 
 
 def hashed(passages: DataFrame, key: str = "chunk_id", text: str = "texto", dim: int = 64) -> DataFrame:
-    """(key, vetor): counts of tokens by md5 bucket, the embedder that needs no model."""
-    bucket = F.pmod(F.conv(F.substring(F.md5(F.col("token")), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
-    counted = passages.select(key, F.explode(fn.tokens(text)).alias("token")).groupBy(key, bucket.alias("b")).agg(F.count("*").cast("double").alias("n"))
-    packed = counted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
-    return packed.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vetor"))
+    """(key, vetor): counts of tokens by md5 bucket, the embedder that needs no model. Texts without tokens have no vector."""
+    kind = passages.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict[str, int] = {}
+        for b in batches:
+            counts, rows = np.zeros((b.num_rows, dim)), []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                for token, n in Counter(fn.token_list(t or "")).items():
+                    at = place.get(token)
+                    if at is None:
+                        if len(place) > 1_000_000:
+                            place.clear()
+                        at = place[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
+                    counts[i, at] += n
+                if counts[i].any():
+                    rows.append(i)
+            values = pa.array(counts[rows].ravel())
+            offsets = pa.array(np.arange(len(rows) + 1) * dim, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(offsets, values)], [key, "vetor"])
+
+    return passages.select(key, text).mapInArrow(run, f"{key} {kind}, vetor array<double>")
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -32,10 +53,7 @@ def search(questions: DataFrame, collection: DataFrame, k: int, floor: float = 0
     """(consulta_id, vetor) against (chunk_id, vetor): the k most similar by cosine, in blocks of both sides.
 
     Each side is dealt into blocks of bounded size by the other's number of blocks, so no task holds a whole side."""
-    spread = questions.sparkSession.range(1).select(
-        F.ceil(F.lit(questions.count()) / block).cast("int").alias("qn"), F.ceil(F.lit(collection.count()) / block).cast("int").alias("cn")
-    ).first()
-    qn, cn = max(1, spread["qn"]), max(1, spread["cn"])
+    qn, cn = (max(1, -(-df.count() // block)) for df in (questions, collection))
 
     def dealt(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
         return df.select(F.col(key), "vetor", F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
@@ -43,17 +61,33 @@ def search(questions: DataFrame, collection: DataFrame, k: int, floor: float = 0
     q, c = dealt(questions, "consulta_id", "qb", qn, "cb", cn), dealt(collection, "chunk_id", "cb", cn, "qb", qn)
     kind = questions.schema["consulta_id"].dataType.simpleString()
 
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        values = pa.concat_arrays(column.chunks)
+        return np.asarray(values.flatten(), np.float64).reshape(len(values), -1)
+
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, keys = left.column("consulta_id"), right.column("chunk_id")
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"consulta_id": ids.slice(0, 0), "chunk_id": keys.slice(0, 0), "score": pa.array([], pa.float64())})
-        x, y = (np.array(t.column("vetor").to_pylist(), float) for t in (left, right))
-        size = np.sqrt((x**2).sum(1))[:, None] * np.sqrt((y**2).sum(1))[None, :]
-        s = np.divide(x @ y.T, size, out=np.zeros_like(size), where=size > 0)
-        name = np.array(keys.to_pylist())
-        picks = [np.lexsort((name, -np.round(r, 9)))[:k] for r in s]
-        i, j = np.repeat(np.arange(len(s)), [len(p) for p in picks]), np.concatenate(picks)
-        return pa.table({"consulta_id": ids.take(pa.array(i)), "chunk_id": keys.take(pa.array(j)), "score": s[i, j]})
+        ids, names = left.column("consulta_id"), right.column("chunk_id")
+        rows: list[np.ndarray] = []
+        places: list[np.ndarray] = []
+        scores: list[np.ndarray] = []
+        if left.num_rows and right.num_rows:
+            x, y = matrix(left.column("vetor")), matrix(right.column("vetor"))
+            name = np.array(names.to_pylist())
+            norm = np.sqrt((y**2).sum(1))
+            for a in range(0, len(x), 256):
+                part = x[a : a + 256]
+                size = np.sqrt((part**2).sum(1))[:, None] * norm[None, :]
+                s = np.round(np.divide(part @ y.T, size, out=np.zeros_like(size), where=size > 0), 9)
+                edge = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])]
+                i, j = np.nonzero(s >= edge[:, None])  # the k best and whatever ties with the last of them
+                order = np.lexsort((name[j], -s[i, j], i))
+                i, j = i[order], j[order]
+                keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+                rows.append(i[keep] + a)
+                places.append(j[keep])
+                scores.append(s[i[keep], j[keep]])
+        flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        return pa.table({"consulta_id": ids.take(pa.array(flat(rows, np.int64))), "chunk_id": names.take(pa.array(flat(places, np.int64))), "score": pa.array(flat(scores, np.float64))})
 
     keys = ["qb", "cb"]
     found = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(best, f"consulta_id {kind}, chunk_id string, score double")

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import catalogue, chunking, dialogue, evaluation, lexical, normalise, prompting, quality, ranking, regions, vectors
-from ..sources import archive
-from ..streaming import incremental
+from ..operators import catalogue, chunking, cycle, dialogue, evaluation, lexical, normalise, prompting, quality, ranking, regions, report, vectors
+from ..sources import archive, pages
+from ..sources.shared import cut
+from . import stages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,8 +38,46 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "lang", F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("documento_origem"), F.col("source").alias("titulo_pagina"), F.col("text").alias("corpo"))
 
 
+class Prepared:
+    """What many queries read: written once a session and input folder, like an index that is built before it is searched."""
+
+    _all: dict[tuple[str, str], Prepared] = {}
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Prepared:
+        return cls._all.setdefault((spark.sparkContext.applicationId, sf_dir), cls(spark, sf_dir))
+
+    @cached_property
+    def passages(self) -> DataFrame:
+        return cut(chunking.chunks(corpus(self.spark, self.sf_dir)))
+
+    @cached_property
+    def index(self) -> lexical.Index:
+        return lexical.build(self.passages)
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return cut(vectors.hashed(self.passages))
+
+    @cached_property
+    def words(self) -> DataFrame:
+        return cut(quality.page_words(_page_table(self.spark, self.sf_dir)))
+
+    @cached_property
+    def dictionary(self) -> DataFrame:
+        seen = self.words.filter("minuscula and idioma <> 'deu'").groupBy("idioma", "palavra").agg(F.count_distinct("pagina").alias("n"))
+        return cut(seen.filter("n >= 3").select("idioma", "palavra"))
+
+    @cached_property
+    def gold(self) -> DataFrame:
+        return cut(_gold(self.spark, self.sf_dir))
+
+
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunks(corpus(spark, sf_dir))
+    return Prepared.of(spark, sf_dir).passages
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,10 +152,12 @@ HYBRID = "fus AS (SELECT consulta_id, chunk_id, sum(w / (60 + posicao)) AS rrf,
 
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    p, q = passages(spark, sf_dir), questions(spark, sf_dir)
-    lex = lexical.search(lexical.build(p), q, 20)
-    den = vectors.search(vectors.hashed(q, "consulta_id"), vectors.hashed(p), 20)
-    return p, q, lex, den
+    ready, q = Prepared.of(spark, sf_dir), questions(spark, sf_dir)
+    return ready.passages, q, lexical.search(ready.index, q, 20), _dense_hits(spark, sf_dir)
+
+
+def _dense_hits(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
+    return vectors.search(vectors.hashed(questions(spark, sf_dir), "consulta_id"), Prepared.of(spark, sf_dir).vectors, k)
 
 
 def _out(r: DataFrame) -> DataFrame:
@@ -204,17 +246,17 @@ def c8_corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{BASE}, {_search(8)} SELECT token, df, cf FROM (SELECT token, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY token)")
 def t2_index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.build(passages(spark, sf_dir)).postings.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return Prepared.of(spark, sf_dir).index.terms
 
 
 @query(f"{BASE}, {_search(8)} SELECT {OUT} FROM lex")
 def t3_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(lexical.search(lexical.build(passages(spark, sf_dir)), questions(spark, sf_dir), 8))
+    return _out(lexical.search(Prepared.of(spark, sf_dir).index, questions(spark, sf_dir), 8))
 
 
 @query(f"{BOTH} SELECT {OUT} FROM den")
 def t4_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(_both(spark, sf_dir)[3])
+    return _out(_dense_hits(spark, sf_dir))
 
 
 @query(f"{BOTH}, fus AS (SELECT consulta_id, chunk_id, sum(1 / (60 + posicao)) AS rrf, max(score) AS score FROM (SELECT * FROM den UNION ALL SELECT * FROM lex) GROUP BY ALL) SELECT consulta_id, row_number() OVER (PARTITION BY consulta_id ORDER BY round(rrf, 12) DESC, round(score, 9) DESC, chunk_id) AS posicao, chunk_id, round(score, 6) AS score FROM fus")
@@ -247,7 +289,7 @@ CUT = "SELECT *, first(score) OVER w AS top FROM den WINDOW w AS (PARTITION BY c
 
 @query(f"{BOTH}, t AS ({CUT}), u AS (SELECT *, top <= 0 OR score >= 0.9 * top AS ok FROM t), v AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY consulta_id) AS n FROM u) SELECT {OUT} FROM v WHERE CASE WHEN n >= 5 THEN ok ELSE posicao <= 5 END")
 def t6_t7_quantity_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(ranking.decide_quantity(_both(spark, sf_dir)[3]))
+    return _out(ranking.decide_quantity(_dense_hits(spark, sf_dir)))
 
 
 NOTE = f"coalesce(len(list_intersect(list_distinct({TOKENS.format('a.texto')}), {TOKENS.format('c.texto')})) / nullif(len(list_distinct({TOKENS.format('a.texto')})), 0), 0)"
@@ -269,7 +311,7 @@ def t17_mediated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.floor(F.length("texto") / 2).cast("int")
     parts = F.array(F.substring("texto", F.lit(1), half), F.substring("texto", half + 1, F.length("texto")))
     subs = q.select(F.col("consulta_id").alias("q"), F.posexplode(parts).alias("s", "texto")).withColumn("consulta_id", F.col("q") * 2 + F.col("s"))
-    pools = lexical.search(lexical.build(p), subs, 20).withColumn("consulta_id", F.floor(F.col("consulta_id") / 2).cast("long"))
+    pools = lexical.search(Prepared.of(spark, sf_dir).index, subs, 20).withColumn("consulta_id", F.floor(F.col("consulta_id") / 2).cast("long"))
     return _out(ranking.mediate(pools, p, q))
 
 
@@ -282,15 +324,15 @@ def t13_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def t14_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, _, _, den = _both(spark, sf_dir)
-    items = den.join(vectors.hashed(p), "chunk_id").select("consulta_id", F.col("posicao").alias("ordem"), "chunk_id", "vetor")
+    den = _dense_hits(spark, sf_dir)
+    items = den.join(Prepared.of(spark, sf_dir).vectors, "chunk_id").select("consulta_id", F.col("posicao").alias("ordem"), "chunk_id", "vetor")
     return vectors.drop_redundant(items, 0.9).select("consulta_id", "ordem", "chunk_id")
 
 
 @query()
 def t19_diversified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, _, _, den = _both(spark, sf_dir)
-    return _out(ranking.mmr(den.join(vectors.hashed(p), "chunk_id"), 5))
+    den = _dense_hits(spark, sf_dir)
+    return _out(ranking.mmr(den.join(Prepared.of(spark, sf_dir).vectors, "chunk_id"), 5))
 
 
 # ── prompts ──
@@ -300,7 +342,7 @@ COST = "ceil(length('[Fonte 00: ' || titulo_pagina || ']' || chr(10) || texto ||
 
 def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p, q = passages(spark, sf_dir), questions(spark, sf_dir)
-    return q, lexical.search(lexical.build(p), q, 20).join(p.select("chunk_id", "titulo_pagina", "texto"), "chunk_id")
+    return q, cycle.with_passages(lexical.search(Prepared.of(spark, sf_dir).index, q, 20), p)
 
 
 @query(f"{HITS} SELECT consulta_id, posicao, chunk_id, custo, acumulado FROM (SELECT *, sum(custo) OVER (PARTITION BY consulta_id ORDER BY posicao)::BIGINT AS acumulado FROM (SELECT *, {COST} AS custo FROM hit)) WHERE posicao = 1 OR acumulado <= 1900")
@@ -381,10 +423,50 @@ def d10_consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.consolidated(t)
 
 
-@query()
+ESCAPED = ", ".join(f"'{e}'" for e in dialogue.ESCAPES)
+ASKS = rf"list_bool_or(list_transform(string_split_regex(coalesce(text, ''), '\r\n|\r|\n'), lambda x: contains(x, '?') AND length({STRIP.format(rf"regexp_replace({STRIP.format(rf"regexp_replace(x, '^\s*(\d+[.)\]]|[-*•–—])\s*', '')")}, '^\x22+|\x22+$', '', 'g')")}) BETWEEN 10 AND 300))"
+STATES = f"""WITH e AS (SELECT conv_id, turn, role = 'user' AS p, coalesce(text, '') AS t, {STRIP.format("coalesce(text, '')")} AS s, coalesce({ASKS}, FALSE) AS q, {_kind_sql("lower(" + STRIP.format("coalesce(text, '')") + ")")} = 'duvida_factual' AS f, turn % 4 < 2 AS n FROM conversations),
+g AS (SELECT conv_id, list({{'p': p, 't': t, 's': s, 'q': q, 'f': f, 'n': n, 'e': '', 'r': 0, 'c': ''}} ORDER BY turn) AS l FROM e GROUP BY conv_id),
+d AS (SELECT conv_id, list_reduce(list_prepend({{'p': TRUE, 't': '', 's': '', 'q': FALSE, 'f': FALSE, 'n': FALSE, 'e': 'triagem', 'r': 0, 'c': ''}}, l), lambda a, x: {{'p': x.p, 't': x.t, 's': x.s, 'q': x.q, 'f': x.f, 'n': x.n,
+'e': CASE WHEN a.e = 'triagem' AND x.p THEN CASE WHEN x.f THEN 'recuperacao' ELSE 'problematizacao' END
+WHEN a.e = 'problematizacao' AND x.p THEN CASE WHEN x.s = '' OR lower(x.s) IN ({ESCAPED}) OR a.r >= 1 THEN 'recuperacao' ELSE a.e END
+WHEN a.e = 'problematizacao' THEN CASE WHEN x.q THEN a.e ELSE 'recuperacao' END
+WHEN a.e = 'recuperacao' AND NOT x.p THEN CASE WHEN x.n THEN 'resposta' ELSE 'encerrada' END
+WHEN a.e = 'resposta' AND NOT x.p THEN 'encerrada' ELSE a.e END,
+'r': a.r + (a.e = 'problematizacao' AND NOT x.p AND x.q)::INT,
+'c': CASE WHEN a.e = 'triagem' AND x.p THEN x.t WHEN a.e = 'problematizacao' AND x.p AND NOT (x.s = '' OR lower(x.s) IN ({ESCAPED})) THEN a.c || chr(10) || x.s ELSE a.c END}}) AS z FROM g)
+SELECT conv_id::VARCHAR AS sessao_id, z.e AS estado, z.r AS rodadas, md5(z.c) AS consulta FROM d"""
+
+
+@query(STATES)
 def d9_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    return incremental.sessions_table(c.select(F.col("conv_id").cast("string").alias("sessao_id"), F.col("turn").alias("ordem"), F.col("text").alias("texto")))
+    c = table(spark, sf_dir, "conversations")
+    author = F.when(F.col("role") == "user", "pessoa").otherwise("sistema")
+    events = c.select(F.col("conv_id").cast("string").alias("sessao_id"), F.col("turn").alias("ordem"), author.alias("autor"), F.col("text").alias("texto"), F.when(F.col("turn") % 4 < 2, 5).otherwise(0).alias("trechos"))
+    return dialogue.sessions(events).withColumn("consulta", F.md5("consulta"))
+
+
+# What a provider might answer: two numbered lines, nothing readable, or no answer at all.
+HALVES = f"SELECT item_id, t, CASE WHEN item_id % 5 = 0 THEN NULL WHEN item_id % 5 = 1 THEN ['ok'] ELSE [{STRIP.format('t[1:60]')}, {STRIP.format('t[61:120]')}] END AS o, item_id % 7 <> 0 AS ligada, item_id % 4 <> 3 AS parte, CASE WHEN item_id % 3 = 0 THEN 'en' ELSE '' END AS lingua FROM (SELECT item_id, {ONE_LINE.format('text')} AS t FROM benchmark)"
+
+
+@query(f"WITH h AS ({HALVES}), v AS (SELECT *, list_filter(o, lambda x: length(x) BETWEEN 4 AND 200 AND lower(x) <> lower(t) AND NOT ({' OR '.join(f"contains(lower(x), '{e}')" for e in dialogue.ECHOES)})) AS u FROM h), w AS (SELECT *, CASE WHEN len(u) = 2 AND lower(u[1]) = lower(u[2]) THEN u[1:1] ELSE u END AS d FROM v), m AS (SELECT *, CASE WHEN NOT ligada THEN 'mediação desligada' WHEN NOT parte AND lingua = '' THEN 'nada a preparar: sem decomposição nem tradução' WHEN parte AND lingua = '' AND length(t) < 25 THEN 'pergunta curta demais para valer uma reformulação' WHEN o IS NULL THEN 'o modelo não respondeu' WHEN len(d) = 0 THEN 'o modelo não devolveu consulta legível' ELSE '' END AS motivo FROM w) SELECT item_id AS consulta_id, md5(array_to_string(CASE WHEN motivo = '' THEN list_concat([t], CASE WHEN parte THEN d ELSE d[1:1] END) ELSE [t] END, '|')) AS subconsultas, motivo = '' AS veio_do_modelo, motivo FROM m")
+def t16_decomposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = table(spark, sf_dir, "benchmark").select("item_id", fn.one_line("text").alias("t"))
+    i = F.col("item_id")
+    lines = F.concat(F.lit("1. "), F.substring("t", 1, 60), F.lit("\n2) "), F.substring("t", 61, 60))
+    said = F.when(i % 5 == 0, F.lit(None).cast("string")).when(i % 5 == 1, F.lit("ok")).otherwise(lines)
+    d = dialogue.decompose(F.col("t"), said, i % 7 != 0, i % 4 != 3, F.when(i % 3 == 0, F.lit("en")).otherwise(F.lit("")))
+    return q.withColumn("d", d).select(i.alias("consulta_id"), F.md5(F.array_join("d.subconsultas", "|")).alias("subconsultas"), F.col("d.veio_do_modelo").alias("veio_do_modelo"), F.col("d.motivo").alias("motivo"))
+
+
+@query(f"WITH {EXCHANGE}, y AS (SELECT conv_id, turn, coalesce(pergunta, '') AS pergunta, troca, {ONE_LINE.format("coalesce(pergunta, '')")} AS t FROM x), z AS (SELECT *, CASE WHEN troca <= 1 THEN 'primeira pergunta da conversa' WHEN conv_id % 4 = 0 THEN 'o modelo não respondeu' WHEN conv_id % 4 = 1 THEN 'o modelo não devolveu reescrita aproveitável' ELSE '' END AS motivo FROM y) SELECT conv_id, turn, md5(CASE WHEN motivo = '' THEN 'Sobre ' || t ELSE pergunta END) AS consulta, motivo = '' AS veio_do_modelo, motivo FROM z")
+def d1_rewrite_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = dialogue.exchanges(table(spark, sf_dir, "conversations")).withColumn("pergunta", F.coalesce("pergunta", F.lit("")))
+    m = F.col("conv_id") % 4
+    said = F.when(m == 0, F.lit(None).cast("string")).when(m == 1, F.lit(" \n")).otherwise(F.concat(F.lit('-> "Sobre '), fn.one_line("pergunta"), F.lit('"')))
+    d = dialogue.rewrite(F.col("pergunta"), F.col("troca") - 1, said)
+    return x.withColumn("d", d).select("conv_id", "turn", F.md5("d.consulta").alias("consulta"), F.col("d.veio_do_modelo").alias("veio_do_modelo"), F.col("d.motivo").alias("motivo"))
 
 
 # ── evaluation ──
@@ -411,9 +493,8 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _case_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, q = passages(spark, sf_dir), questions(spark, sf_dir)
-    r = lexical.search(lexical.build(p), q, 20).join(p.select("chunk_id", "titulo_pagina"), "chunk_id")
-    return evaluation.cases(_gold(spark, sf_dir), r)
+    ready, q = Prepared.of(spark, sf_dir), questions(spark, sf_dir)
+    return evaluation.run(q, ready.gold, lambda asked: lexical.search(ready.index, asked, 20).join(ready.passages.select("chunk_id", "titulo_pagina"), "chunk_id"))
 
 
 @query(f"{GOLD}, {CASES.format(r='lex')} SELECT consulta_id, tipo, esperadas, acertos, round(cobertura, 6) AS cobertura, primeira, trechos FROM cs")
@@ -432,12 +513,49 @@ def e4_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.by_kind(_case_table(spark, sf_dir)).withColumn("recall", F.round("recall", 6))
 
 
-@query()
+SECOND = CASES.format(r="den").replace("pg AS", "pg2 AS").replace("cs AS", "cs2 AS").replace("JOIN pg USING", "JOIN pg2 USING")
+
+
+@query(f"{GOLD}, {CASES.format(r='lex')}, {_dense(20)}, {SECOND} SELECT consulta_id, cs.primeira::BIGINT AS antes, cs2.primeira::BIGINT AS depois, coalesce(cs2.primeira, 1073741824) > coalesce(cs.primeira, 1073741824) AS piorou FROM cs JOIN cs2 USING (consulta_id) WHERE cs.primeira IS DISTINCT FROM cs2.primeira")
 def e6_compared_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, _, lex, den = _both(spark, sf_dir)
-    pages = p.select("chunk_id", "titulo_pagina")
-    gold = _gold(spark, sf_dir)
-    return evaluation.compare(evaluation.cases(gold, lex.join(pages, "chunk_id")), evaluation.cases(gold, den.join(pages, "chunk_id")))
+    titles = p.select("chunk_id", "titulo_pagina")
+    gold = Prepared.of(spark, sf_dir).gold
+    return evaluation.compare(evaluation.cases(gold, lex.join(titles, "chunk_id")), evaluation.cases(gold, den.join(titles, "chunk_id"))).withColumns({c: F.col(c).cast("long") for c in ("antes", "depois")})
+
+
+MEANS = "count(*) AS casos, round(avg((acertos > 0)::INT), 6) AS recall, round(avg(cobertura), 6) AS cobertura, round(avg(coalesce(1 / primeira, 0)), 6) AS mrr, round(avg(trechos), 6) AS trechos_por_caso"
+
+
+@query(f"{GOLD}, {CASES.format(r='lex')}, {_dense(20)}, {SECOND}, s AS (SELECT 'lexica' AS rotulo, {MEANS} FROM cs UNION ALL SELECT 'densa', {MEANS} FROM cs2) SELECT s.*, round(recall - (SELECT recall FROM s WHERE rotulo = 'lexica'), 6) AS diferenca FROM s")
+def e5_e8_side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready, q = Prepared.of(spark, sf_dir), questions(spark, sf_dir)
+    titles = ready.passages.select("chunk_id", "titulo_pagina")
+    lex = evaluation.run(q, ready.gold, lambda asked: lexical.search(ready.index, asked, 20).join(titles, "chunk_id"))
+    den = evaluation.run(q, ready.gold, lambda asked: vectors.search(vectors.hashed(asked, "consulta_id"), ready.vectors, 20).join(titles, "chunk_id"))
+    s = evaluation.side_by_side(lex, den, ("lexica", "densa"))
+    return s.select("rotulo", "casos", *[F.round(c, 6).alias(c) for c in ("recall", "cobertura", "mrr", "trechos_por_caso", "diferenca")])
+
+
+FIT = f"over_ AS (SELECT item_id AS consulta_id, ceil(length('{prompting.INSTRUCTION}' || chr(10) || chr(10) || 'TRECHOS RECUPERADOS:' || chr(10) || chr(10) || chr(10) || 'PERGUNTA:' || chr(10) || text) / 4.0)::BIGINT AS o FROM benchmark), fit AS (SELECT * FROM (SELECT l.*, titulo_pagina, texto, o, sum({COST}) OVER (PARTITION BY consulta_id ORDER BY posicao) AS acumulado FROM lex l JOIN chunks USING (chunk_id) JOIN over_ USING (consulta_id)) WHERE posicao = 1 OR acumulado <= 1500 - o)"
+
+
+@query(f"{GOLD}, {CASES.format(r='lex')}, {FIT}, k AS (SELECT consulta_id, count(*) AS n FROM fit GROUP BY ALL), h AS (SELECT DISTINCT g.consulta_id FROM gold g JOIN fit f ON f.consulta_id = g.consulta_id AND f.titulo_pagina = g.pagina) SELECT {MEANS}, count(*) FILTER (coalesce(n, 0) < trechos) AS casos_cortados, round(avg((h.consulta_id IS NOT NULL)::INT), 6) AS recall_no_prompt FROM cs LEFT JOIN k USING (consulta_id) LEFT JOIN h ON h.consulta_id = cs.consulta_id")
+def e3_e5_in_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready, q = Prepared.of(spark, sf_dir), questions(spark, sf_dir)
+    search = lambda asked: cycle.with_passages(lexical.search(ready.index, asked, 20), ready.passages)
+    s = evaluation.summary(evaluation.run(q, ready.gold, search, fit=lambda asked, hits: cycle.fitting(asked, hits, 1500)))
+    return s.select("casos", *[F.round(c, 6).alias(c) for c in s.columns[1:5]], "casos_cortados", F.round("recall_no_prompt", 6).alias("recall_no_prompt"))
+
+
+PROMPT = f"'{prompting.INSTRUCTION}' || chr(10) || chr(10) || 'TRECHOS RECUPERADOS:' || chr(10) || t || chr(10) || chr(10) || 'PERGUNTA:' || chr(10) || text"
+
+
+@query(f"{BASE}, {_search(20)}, {FIT}, b AS (SELECT consulta_id, count(*) AS n, string_agg('[Fonte ' || posicao || ': ' || titulo_pagina || ']' || chr(10) || texto, chr(10) || chr(10) ORDER BY CASE WHEN posicao % 2 = 1 THEN posicao ELSE 1000 - posicao END) AS t FROM fit GROUP BY consulta_id) SELECT item_id AS consulta_id, coalesce(n, 0) AS trechos, md5({PROMPT}) AS prompt, 'Conforme a Fonte 1, ' || length({PROMPT}) || ' caracteres de contexto.' AS resposta, CASE WHEN n IS NOT NULL THEN 0 END AS invalidas FROM benchmark LEFT JOIN b ON consulta_id = item_id")
+def g3_g7_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, hits = _hits(spark, sf_dir)
+    a = cycle.answer(q, hits, budget=1500)
+    return a.select("consulta_id", F.col("trechos").cast("long").alias("trechos"), F.md5("prompt").alias("prompt"), "resposta", F.size("citacoes_invalidas").alias("invalidas")).withColumn("invalidas", F.when(F.col("prompt").isNotNull(), F.col("invalidas")))
 
 
 # ── page quality ──
@@ -453,18 +571,20 @@ page AS (SELECT handle, arquivo, pagina, origem, length(regexp_replace(text, '[^
 lev AS (SELECT *, CASE WHEN origem = 'digital_nativo' THEN 'texto original' WHEN caracteres = 0 THEN 'ruim' WHEN fora IS NULL OR palavras < 20 THEN 'sem medida' WHEN fora <= 0.03 THEN 'bom' WHEN fora <= 0.1 THEN 'regular' ELSE 'ruim' END AS nivel FROM page)"""
 
 
-def _pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     origin = F.when(F.col("doc_id") % 4 == 0, "digital_nativo").when(F.col("doc_id") % 4 == 2, "ocr_anterior").otherwise("ocr")
-    pages = d.select(F.col("source").alias("handle"), F.concat("source", F.lit(".pdf")).alias("arquivo"), F.col("doc_id").alias("pagina"), fn.tool_language("lang").alias("idioma"), origin.alias("origem"), F.col("text").alias("texto"))
-    words = quality.page_words(pages).filter("minuscula and idioma <> 'deu'")
-    dictionary = words.groupBy("idioma", "palavra").agg(F.count_distinct("pagina").alias("n")).filter("n >= 3").select("idioma", "palavra")
-    return pages, dictionary
+    return d.select(F.col("source").alias("handle"), F.concat("source", F.lit(".pdf")).alias("arquivo"), F.col("doc_id").alias("pagina"), fn.tool_language("lang").alias("idioma"), origin.alias("origem"), F.col("text").alias("texto"))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each document as a page, its words, and a dictionary: the words of three pages at least."""
+    ready = Prepared.of(spark, sf_dir)
+    return _page_table(spark, sf_dir), ready.words, ready.dictionary
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, dictionary = _pages(spark, sf_dir)
-    i = quality.indicators(pages, dictionary)
+    i = quality.indicators(*(_pages(spark, sf_dir)[k] for k in (0, 2, 1)))
     none = F.lit(None).cast("double")
     level = quality.level(F.col("origem"), F.col("caracteres"), F.col("palavras"), F.col("fora_do_dicionario"), none)
     return i.withColumn("fracao_hesitante", none).withColumn("nivel", level)
@@ -477,8 +597,7 @@ def o12_o18_page_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{QUALITY}, cnt AS (SELECT handle, arquivo, pagina, palavra, count(*) AS c, min(pos) AS p FROM k WHERE mi AND des GROUP BY ALL), sus AS (SELECT *, row_number() OVER (PARTITION BY handle, arquivo, pagina ORDER BY c DESC, p) AS k FROM cnt) SELECT pagina, string_agg(palavra, ' ' ORDER BY k) AS suspeitas FROM sus WHERE k <= 10 GROUP BY handle, arquivo, pagina")
 def o15_suspect_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, dictionary = _pages(spark, sf_dir)
-    i = quality.indicators(pages, dictionary).filter(F.size("suspeitas") > 0)
+    i = _levels(spark, sf_dir).filter(F.size("suspeitas") > 0)
     return i.select("pagina", F.array_join("suspeitas", " ").alias("suspeitas"))
 
 
@@ -490,15 +609,29 @@ def o19_o21_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{QUALITY}, lw AS (SELECT handle, pagina, palavra, count(*) AS n FROM w WHERE mi GROUP BY ALL), tot AS (SELECT handle, pagina, sum(n) AS t FROM lw GROUP BY ALL), hit AS (SELECT lw.handle, lw.pagina, dic.idioma AS c, sum(n) AS ok FROM lw JOIN dic USING (palavra) GROUP BY ALL), fit AS (SELECT handle, pagina, c, o, 1 - coalesce(ok, 0) / t AS f FROM tot CROSS JOIN (VALUES ('eng', 2), ('spa', 3), ('fra', 4)) l(c, o) LEFT JOIN hit USING (handle, pagina, c)), best AS (SELECT handle, pagina, first(c ORDER BY f, o) AS c FROM fit WHERE f < 0.5 GROUP BY ALL) SELECT pagina, coalesce(c, '') AS idioma_detectado FROM pg LEFT JOIN best USING (handle, pagina)")
 def o16_o17_detected_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, dictionary = _pages(spark, sf_dir)
-    return quality.detect_language(pages, dictionary).select("pagina", "idioma_detectado")
+    return quality.detect_language(*_pages(spark, sf_dir)).select("pagina", "idioma_detectado")
+
+
+FITS = f"{QUALITY}, lw AS (SELECT handle, pagina, palavra, count(*) AS n FROM w WHERE mi GROUP BY ALL), tot AS (SELECT handle, pagina, sum(n) AS t FROM lw GROUP BY ALL), hit AS (SELECT lw.handle, lw.pagina, dic.idioma AS c, sum(n) AS ok FROM lw JOIN dic USING (palavra) GROUP BY ALL), fit AS (SELECT handle, pagina, c, o, 1 - coalesce(ok, 0) / t AS f FROM tot CROSS JOIN (VALUES ('eng', 2), ('spa', 3), ('fra', 4)) l(c, o) LEFT JOIN hit USING (handle, pagina, c))"
+
+
+MISNAMED = "CASE WHEN pagina % 10 = 0 THEN 'eng' ELSE idioma END"
+
+
+@query(f"{FITS}, kx AS (SELECT x.handle, x.pagina, i2, mi, CASE WHEN i2 <> 'deu' THEN dic.palavra IS NULL END AS des FROM (SELECT *, {MISNAMED} AS i2 FROM w) x LEFT JOIN dic ON dic.idioma = i2 AND dic.palavra = x.palavra), ix AS (SELECT handle, pagina, any_value(i2) AS i2, avg(des::INT) FILTER (mi) AS fora FROM kx GROUP BY ALL) SELECT pagina, first(c ORDER BY f, o) AS idioma_suspeito FROM fit JOIN ix USING (handle, pagina) WHERE fora > 0.25 AND c <> i2 AND f < fora / 2 GROUP BY handle, pagina")
+def o16_better_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Each tenth page is catalogued under a language that is mostly not its own.
+    p, words, dictionary = _pages(spark, sf_dir)
+    misnamed = F.when(F.col("pagina") % 10 == 0, "eng").otherwise(F.col("idioma"))
+    measured = quality.indicators(p.withColumn("idioma", misnamed), dictionary, words.withColumn("idioma", misnamed))
+    return quality.better_language(measured, quality.language_fit(words, dictionary)).select("pagina", "idioma_suspeito")
 
 
 @query(f"{QUALITY}, sug AS (SELECT DISTINCT strip_accents(palavra) AS palavra FROM dic WHERE length(palavra) >= 4 AND strip_accents(palavra) <> palavra) SELECT pagina, count(*) AS acentos_perdidos FROM k JOIN sug USING (palavra) WHERE mi AND des GROUP BY handle, arquivo, pagina")
 def o14_lost_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, dictionary = _pages(spark, sf_dir)
+    _, words, dictionary = _pages(spark, sf_dir)
     sug = dictionary.select(fn.strip_accents("palavra").alias("palavra"), F.col("palavra").alias("sugestao"), F.lit(0).alias("ordem")).distinct()
-    return quality.lost_accents(pages, dictionary, sug).select("pagina", "acentos_perdidos")
+    return quality.lost_accents(words, dictionary, sug).select("pagina", "acentos_perdidos")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -514,8 +647,7 @@ BAG = "list_sum(list_transform(list_distinct(list_concat(rw, gw)), lambda w: gre
 
 @query(f"SELECT pagina, motor, round(CASE WHEN length(r) > 0 THEN levenshtein(r, g) / length(r) WHEN length(g) > 0 THEN 1 ELSE 0 END, 6) AS cer, round(CASE WHEN len(rw) > 0 THEN greatest(coalesce({BAG.format('rw', 'gw')}, 0), coalesce({BAG.format('gw', 'rw')}, 0)) / len(rw) WHEN len(gw) > 0 THEN 1 ELSE 0 END, 6) AS wer_sem_ordem FROM (SELECT *, list_filter(string_split(r, ' '), lambda w: w <> '') AS rw, list_filter(string_split(g, ' '), lambda w: w <> '') AS gw FROM ({PAIR}))")
 def o24_o26_character_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = F.col("referencia"), F.col("candidato")
-    return _pairs(spark, sf_dir).select("pagina", "motor", F.round(quality.character_error(*r), 6).alias("cer"), F.round(quality.unordered_word_error(*r), 6).alias("wer_sem_ordem"))
+    return quality.error_rates(_pairs(spark, sf_dir)).select("pagina", "motor", F.round("cer", 6).alias("cer"), F.round("wer_sem_ordem", 6).alias("wer_sem_ordem"))
 
 
 @query()
@@ -523,6 +655,25 @@ def o27_o28_engines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.mean_by_engine(quality.error_rates(_pairs(spark, sf_dir)))
 
 
+RATED = f"SELECT motor, CASE WHEN length(r) > 0 THEN levenshtein(r, g) / length(r) WHEN length(g) > 0 THEN 1 ELSE 0 END AS cer, CASE WHEN len(rw) > 0 THEN greatest(coalesce({BAG.format('rw', 'gw')}, 0), coalesce({BAG.format('gw', 'rw')}, 0)) / len(rw) WHEN len(gw) > 0 THEN 1 ELSE 0 END AS bag FROM (SELECT *, list_filter(string_split(r, ' '), lambda w: w <> '') AS rw, list_filter(string_split(g, ' '), lambda w: w <> '') AS gw FROM ({PAIR}))"
+
+
+@query(f"SELECT motor, count(*) AS paginas, round(avg(cer), 6) AS cer, round(avg(bag), 6) AS wer_sem_ordem FROM ({RATED}) GROUP BY motor")
+def o28_engine_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = quality.mean_by_engine(quality.error_rates(_pairs(spark, sf_dir)))
+    return m.select("motor", "paginas", F.round("cer", 6).alias("cer"), F.round("wer_sem_ordem", 6).alias("wer_sem_ordem"))
+
+
+@query("SELECT r.pagina, e.motor, c.pagina IS NULL AS falta FROM (SELECT conv_id AS pagina FROM conversations WHERE turn = 0) r CROSS JOIN (VALUES ('a'), ('b'), ('c')) e(motor) LEFT JOIN (SELECT conv_id AS pagina, CASE turn % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS motor FROM conversations WHERE turn BETWEEN 1 AND 3) c USING (pagina, motor)")
+def j11_o27_candidate_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    references = c.filter("turn = 0").select(F.col("conv_id").alias("pagina"), F.col("text").alias("referencia"))
+    engine = F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("turn") % 3 + 1).cast("int"))
+    candidates = c.filter("turn between 1 and 3").select(F.col("conv_id").alias("pagina"), engine.alias("motor"), F.col("text").alias("candidato"))
+    engines = spark.createDataFrame([("a",), ("b",), ("c",)], "motor string")
+    return quality.candidate_grid(references, engines, candidates).select("pagina", "motor", "falta")
+
+
 # ── positioned pages and line-wrapped text ──
 
 
@@ -544,9 +695,16 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lit(1000).alias("largura"), F.lit(2000).alias("altura"), F.lit("").alias("imagem"), groups.alias("regioes"))
 
 
-@query("SELECT doc_id, md5(array_to_string(list_filter(list_transform(range(0, (len(l) + 3) // 4), lambda g: array_to_string(list_filter(list_transform(range(g * 4, least(g * 4 + 4, len(l))), lambda i: CASE WHEN i % 7 = 6 THEN '' ELSE replace(l[i + 1], '¬', '-') END), lambda t: regexp_replace(t, '^\\s+|\\s+$', '', 'g') <> ''), chr(10))), lambda b: b <> ''), chr(10) || chr(10))) AS texto FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) WHERE NOT list_bool_or(list_transform(range(0, len(l)), lambda j: j % 7 <> 6 AND length(regexp_replace(l[j + 1], '[^\\p{L}\\p{N}]', '', 'g')) <= 4))")
+USEFUL = r"length(regexp_replace({}, '[^\p{{L}}\p{{N}}]', '', 'g'))"
+# Groups of four lines; the margin's lines are '3 o'; f: lines that aren't blank.
+REGIONS = rf"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+g AS (SELECT doc_id, g, list_transform(range(g * 4, least(g * 4 + 4, len(l))), lambda i: {{{{'m': i % 7 = 6, 't': CASE WHEN i % 7 = 6 THEN '3 o' ELSE l[i + 1] END}}}}) AS x FROM (SELECT *, unnest(range(0, (len(l) + 3) // 4)) AS g FROM l)),
+f AS (SELECT *, list_filter(x, lambda y: {STRIP.format('y.t')} <> '') AS f FROM g),
+r AS (SELECT *, CASE WHEN len(f) = 1 AND regexp_matches(f[1].t, '^[^\p{{{{L}}}}\p{{{{N}}}}_]*\p{{{{Nd}}}}{{{{1,4}}}}[^\p{{{{L}}}}\p{{{{N}}}}_]*$') THEN 'numero_de_pagina' WHEN len(f) >= 3 AND len(list_filter(f, lambda y: {USEFUL.format('y.t')} > 3)) = 0 THEN 'ruido' ELSE 'texto' END AS tipo FROM f)""".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"{REGIONS}, b AS (SELECT doc_id, g, array_to_string(list_transform(list_filter(f, lambda y: tipo <> 'texto' OR NOT y.m), lambda z: replace(z.t, '¬', '-')), chr(10)) AS t FROM r WHERE tipo <> 'ruido') SELECT l.doc_id, CASE WHEN l.l IS NOT NULL THEN md5(coalesce(string_agg(t, chr(10) || chr(10) ORDER BY g) FILTER (t <> ''), '')) END AS texto FROM l LEFT JOIN b USING (doc_id) GROUP BY l.doc_id, l.l")
 def o2_o5_derived_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The SQL beside it leaves out pages with a line of four letters or digits at most; tests hold those against brute force.
     return regions.mark_noise(_placed(spark, sf_dir)).select("doc_id", F.md5(regions.derived_text("regioes")).alias("texto"))
 
 
@@ -557,46 +715,82 @@ def o3_o31_page_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", F.size("regioes").alias("regioes"), regions.has_columns("regioes").alias("colunas"), F.round(c["confianca_media"], 6).alias("confianca"), F.round(c["fracao_hesitante"], 6).alias("hesitante"), c["linhas_hesitantes"].alias("linhas"))
 
 
-@query()
+@query(f"{REGIONS}, k AS (SELECT unnest(list_transform(x, lambda y: CASE WHEN tipo = 'texto' AND y.m THEN 'ruido' ELSE tipo END)) AS tipo FROM r) SELECT tipo, count(*) AS linhas FROM k GROUP BY tipo")
 def o30_lines_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.lines_by_kind(regions.mark_noise(_placed(spark, sf_dir)))
 
 
 def _wrapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Pages with words broken over lines at the mark ¬ or a hyphen."""
-    pages, dictionary = _pages(spark, sf_dir)
+    p, _, dictionary = _pages(spark, sf_dir)
     text = F.regexp_replace(F.regexp_replace("texto", r"(\p{Ll}{3})(\p{Ll}{3}) ", "$1¬\n$2 "), r", (\p{Ll}{4})(\p{Ll}{3})", ", $1-\n$2")
-    return pages.select(F.col("pagina"), "idioma", text.alias("texto")), dictionary
+    return p.select(F.col("pagina"), "idioma", text.alias("texto")), dictionary
 
 
 @query()
 def o7_o8_break_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, dictionary = _wrapped(spark, sf_dir)
-    return normalise.decisions(pages, dictionary).groupBy("hifen", "regra").agg(F.count("*").alias("n"))
+    return normalise.decisions(*_wrapped(spark, sf_dir)).groupBy("hifen", "regra").agg(F.count("*").alias("n"))
 
 
 @query()
 def o9_o11_normalised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, dictionary = _wrapped(spark, sf_dir)
-    out = normalise.pages_text(pages, dictionary)
+    out = normalise.pages_text(*_wrapped(spark, sf_dir))
     return out.select("pagina", F.md5("texto").alias("texto"), F.aggregate(F.map_values("regras"), F.lit(0), lambda a, b: a + b).alias("aplicadas"))
 
 
 # ── joins, sources, catalogue ──
 
 
+@query(r"SELECT doc_id, i::INT AS pagina, md5(regexp_replace(nfc_normalize(ps[i]), '^\s+|\s+$', '', 'g')) AS texto FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '\n\s*\n') AS ps FROM documents))")
+def s19_split_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\n\s*\n", pages.PAGE_BREAK).alias("texto"))
+    return pages.split_pages(d).select("doc_id", "pagina", F.md5(pages.page_text("texto")).alias("texto"))
+
+
+@query(r"SELECT doc_id, md5(array_to_string(list_filter(list_transform(list_filter(string_split_regex(text, '\n\s*\n'), lambda b: regexp_replace(b, '^\s+|\s+$', '', 'g') <> ''), lambda c: replace(array_to_string(list_filter(string_split_regex(c, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') <> ''), chr(10)), '¬', '-')), lambda d: d <> ''), chr(10) || chr(10))) AS texto FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]')")
+def s17_s18_page_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # XML has no control characters: texts with some aren't pages.
+    d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull() & ~F.col("text").rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]"))
+    page = d.select("doc_id", F.lit(0).alias("largura"), F.lit(0).alias("altura"), F.lit("").alias("imagem"), pages.unplaced("text").alias("regioes"))
+    return pages.read_page_xml(pages.write_page_xml(page)).select("doc_id", F.md5(regions.derived_text("regioes")).alias("texto"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'revisada' WHEN doc_id % 2 = 0 THEN 'ocr' END AS versao FROM documents")
+def j15_s20_effective_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    reviewed, read = d.filter("doc_id % 3 = 0").withColumn("versao", F.lit("revisada")), d.filter("doc_id % 2 = 0").withColumn("versao", F.lit("ocr"))
+    return pages.effective(d, reviewed, read, ["doc_id"], "versao")
+
+
+@query("SELECT page_id AS id, 'fica' AS situacao FROM pages WHERE page_id IN (SELECT doc_id * 2 FROM documents) UNION ALL SELECT DISTINCT doc_id * 2, 'ausente' FROM documents WHERE doc_id * 2 NOT IN (SELECT page_id FROM pages)")
+def j3_p8_restricted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "documents").select((F.col("doc_id") * 2).alias("id"))
+    kept, absent = stages.restricted(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id")), wanted, "id")
+    return kept.withColumn("situacao", F.lit("fica")).unionByName(absent.withColumn("situacao", F.lit("ausente")))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 5 <> 4 THEN 'doc_' || doc_id || '.pdf' END AS arquivo, CASE WHEN doc_id % 5 <> 4 THEN (doc_id % 7)::INT END AS pagina, doc_id % 2 = 1 OR doc_id % 5 = 4 AS falta FROM documents")
+def j16_asked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    ending = F.when(i % 5 == 4, F.lit("")).otherwise(F.concat(F.lit("_p"), F.lpad((i % 7).cast("string"), 4, "0")))
+    d = table(spark, sf_dir, "documents")
+    wanted = d.select("doc_id", F.concat(F.lit("7891_"), i.cast("string"), F.lit("_doc_"), i.cast("string"), ending).alias("identificador"))
+    files = d.filter("doc_id % 2 = 0").select(F.concat(F.lit("7891/"), "doc_id").alias("handle"), F.concat(F.lit("doc_"), "doc_id", F.lit(".pdf")).alias("arquivo"), F.lit("").alias("idioma"))
+    return wanted.join(pages.asked_pages(wanted, files), "identificador").select("doc_id", "arquivo", "pagina", "falta")
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def j1_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
 
 
-@query("SELECT arquivo, pagina, ok FROM (SELECT conv_id AS arquivo, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, text, turn FROM conversations) , LATERAL (SELECT (i + CASE WHEN i > 1 THEN 2 ELSE 0 END)::INT AS pagina, TRUE AS ok) WHERE text IS NOT NULL")
+@query("SELECT conv_id AS arquivo, (i + CASE WHEN i > 1 THEN 2 ELSE 0 END)::INT AS pagina, TRUE AS ok, FALSE AS aviso FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) UNION ALL SELECT DISTINCT conv_id, 2, TRUE, TRUE FROM conversations")
 def s15_sidecar_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     texts = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]).alias("t"))
     notice = F.array(F.lit("\n[OCR skipped on page(s) 2-3] "))
     sidecar = texts.select(F.col("conv_id").alias("arquivo"), F.array_join(F.concat(F.slice("t", 1, 1), notice, F.slice("t", 2, 1 << 30)), "\f").alias("texto"))
-    return archive.sidecar_pages(sidecar).filter("de is null").select("arquivo", "pagina", F.col("certo").alias("ok"))
+    return archive.sidecar_pages(sidecar).select("arquivo", "pagina", F.col("certo").alias("ok"), F.col("de").isNotNull().alias("aviso"))
 
 
 @query("SELECT conv_id AS pagina, round(avg(CASE WHEN turn % 3 > 0 THEN turn * 10.0 END), 6) AS confianca FROM conversations GROUP BY conv_id")
@@ -641,7 +835,7 @@ def k6_allowed_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = passages(spark, sf_dir)
     rule = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("titulo_pagina")).agg(F.when(F.min("doc_id") % 2 == 0, "publicavel").alias("restricao_uso"))
     open_ = catalogue.allowed(p.join(rule, "titulo_pagina"))
-    return _out(lexical.search(lexical.build(open_), questions(spark, sf_dir), 8))
+    return _out(lexical.search(lexical.build(cut(open_)), questions(spark, sf_dir), 8))
 
 
 @query(r"SELECT page_id, 'hdl-' || (page_id % 900 + 100) || '-' || page_id AS handle FROM pages")

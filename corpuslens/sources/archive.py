@@ -21,6 +21,14 @@ def originals(items: DataFrame) -> DataFrame:
     return part.filter((F.col("bundle") == "ORIGINAL") & F.lower("arquivo").endswith(".pdf") & ~F.col("arquivo").rlike(r"[/\\]")).select("handle", "pasta", "arquivo")
 
 
+def item_warnings(items: DataFrame) -> DataFrame:
+    """(pasta, aviso) of items whose `contents` is missing or lists no original PDF."""
+    listed = originals(items.filter(F.col("contents").isNotNull())).select("pasta").distinct().withColumn("_has", F.lit(True))
+    j = items.join(listed, "pasta", "left")
+    said = F.when(F.col("contents").isNull(), F.lit("item sem contents")).when(F.col("_has").isNull(), F.lit("nenhum PDF original"))
+    return j.select("pasta", said.alias("aviso")).filter(F.col("aviso").isNotNull())
+
+
 def missing(listed: DataFrame, present: DataFrame) -> DataFrame:
     return listed.join(present, ["pasta", "arquivo"], "left_anti")
 

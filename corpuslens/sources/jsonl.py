@@ -14,15 +14,34 @@ class InputError(ValueError):
     pass
 
 
-def _parsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    lines = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id()).filter(F.trim("value") != "")
-    return lines.withColumn("_line", F.row_number().over(Window.orderBy("_id"))).withColumn("r", F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+def _parsed(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """All lines with a number that grows in their order, and those that aren't blank, read (a broken one has `r._bad`)."""
+    lines = spark.read.text(path).withColumn("_line", F.monotonically_increasing_id())
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    return lines, lines.filter(F.trim("value") != "").withColumn("r", F.from_json("value", schema + ", _bad string", options))
+
+
+def _refuse(lines: DataFrame, wrong: DataFrame) -> None:
+    """An error that names the first lines of (_line, motivo), if there are any. A line's number is the count of lines up to it."""
+    first = wrong.orderBy("_line", "motivo").limit(5).collect()
+    if first:
+        at = lines.agg(*[F.count_if(F.col("_line") <= r["_line"]) for r in first]).first()
+        raise InputError("; ".join(f"line {n}: {r['motivo']}" for n, r in zip(at, first, strict=True)))
+
+
+def _broken(parsed: DataFrame, required: tuple[str, ...]) -> DataFrame:
+    missing = F.lit(False)
+    for c in required:
+        missing = missing | F.col(f"r.{c}").isNull()
+    why = F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), F.lit("JSON inválido")).when(missing, F.lit("campo ausente"))
+    return parsed.select("_line", why.alias("motivo")).filter(F.col("motivo").isNotNull())
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Missing optional fields get their neutral values; a corrupt line fails the scan."""
-    df = spark.read.schema(CHUNK).json(path, mode="FAILFAST")
-    return df.fillna(OPTIONAL)
+    """Missing optional fields get their neutral values; a corrupt line, or one without id or text, fails the scan."""
+    lines, parsed = _parsed(spark, path, CHUNK)
+    _refuse(lines, _broken(parsed, ("chunk_id", "texto")))
+    return parsed.select("r.*").drop("_bad").fillna(OPTIONAL)
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
@@ -33,18 +52,14 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 
 def problems(cases: DataFrame) -> DataFrame:
     """(_line, motivo) of a gold set as read line by line."""
-    bad = cases.filter(F.col("r._bad").isNotNull()).select("_line", F.lit("JSON inválido").alias("motivo"))
-    missing = cases.filter(F.col("r._bad").isNull() & (F.col("r.id").isNull() | F.col("r.demanda").isNull() | F.col("r.paginas_esperadas").isNull())).select("_line", F.lit("campo ausente").alias("motivo"))
     nth = F.row_number().over(Window.partitionBy("r.id").orderBy("_line"))
     again = cases.filter(F.col("r.id").isNotNull()).withColumn("_n", nth).filter("_n > 1").select("_line", F.lit("id repetido").alias("motivo"))
-    return bad.unionByName(missing).unionByName(again)
+    return _broken(cases, ("id", "demanda", "paginas_esperadas")).unionByName(again)
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    parsed = _parsed(spark, path, CASE)
-    wrong = problems(parsed).orderBy("_line").limit(5).collect()
-    if wrong:
-        raise InputError("; ".join(f"line {r['_line']}: {r['motivo']}" for r in wrong))
+    lines, parsed = _parsed(spark, path, CASE)
+    _refuse(lines, problems(parsed))
     out = parsed.select("r.*").drop("_bad")
     if out.isEmpty():
         raise InputError(f"{path} has no case")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
+from ..operators import vectors
 
 
 class Collection:
@@ -37,3 +38,14 @@ class Collection:
         new.write.mode("overwrite" if recreate else "append").parquet(self.path)
         new.unpersist()
         return rows
+
+    def count(self) -> int:
+        old = self.read()
+        return 0 if old is None else old.count()
+
+    def search(self, questions: DataFrame, k: int, floor: float = 0.0) -> DataFrame:
+        """(consulta_id, vetor) -> the k most similar stored passages of each; those under the floor don't count. An empty collection finds nothing."""
+        old = self.read()
+        if old is None:
+            return self.spark.createDataFrame([], f"consulta_id {questions.schema['consulta_id'].dataType.simpleString()}, posicao int, chunk_id string, score double")
+        return vectors.search(questions, old, k, floor)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import dialogue, vectors
@@ -27,47 +27,60 @@ def index_stream(chunks: DataFrame, collection: Collection, checkpoint: str, emb
 SESSION = "sessao_id string, estado string, rodadas int, consulta string"
 
 
-def _step(state: tuple[Any, ...], text: str, rounds: int) -> tuple[Any, ...]:
-    """(estado, rodadas, consulta) after one message of the person."""
-    name, done, query = state
-    if name == "triagem":
-        return ("problematizacao" if _kind(text) != "duvida_factual" else "recuperacao", 0, text.strip())
-    if name == "problematizacao":
-        skip = text.strip().lower() in dialogue.ESCAPES or not text.strip()
-        done += not skip
-        query = query if skip else f"{query}\n{text.strip()}"
-        return ("recuperacao" if skip or done >= rounds else name, done, query)
-    return ("encerrada", done, query)
+def sessions_stream(events: DataFrame, path: str, checkpoint: str):
+    """Events (sessao_id, ordem, autor, texto, trechos) as they arrive: they are appended to a table by micro-batch, and sessions_now() folds it.
 
+    Late events find their place by `ordem`; a replayed batch overwrites its own part, so nothing counts twice."""
 
-def _kind(text: str) -> str:
-    t = text.strip().lower()
-    if any(t.startswith(c) or f" {c}" in t for c in dialogue.PRODUCT_CUES):
-        return "produto_acabado"
-    return "duvida_factual" if t.startswith(dialogue.FACT_CUES) else "indefinido"
+    def batch(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/lote={number}")
 
+    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-def sessions(messages: DataFrame, rounds: int = 1) -> DataFrame:
-    """(sessao_id, ordem, texto) of the persons -> each session's state after its messages; works on streams and tables."""
+
+def sessions_now(spark: SparkSession, path: str, rounds: int = 1, problematise: bool = True) -> DataFrame:
+    """The state of every session whose events sessions_stream() has taken in."""
+    return dialogue.sessions(spark.read.parquet(path).drop("lote"), rounds, problematise)
+
+
+def live_sessions(events: DataFrame, rounds: int = 1, problematise: bool = True) -> DataFrame:
+    """Keyed state on a stream: each micro-batch's events move their sessions on and give their new states. Within a batch events go by `ordem`."""
 
     def run(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.get if state.exists else ("triagem", 0, "")
-        for f in frames:
-            for text in f.sort_values("ordem")["texto"]:
-                now = _step(now, text or "", rounds)
+        for e in pd.concat(list(frames)).sort_values("ordem").itertuples():
+            now = step(now, e.autor, e.texto, e.trechos, rounds, problematise)
         state.update(now)
         yield pd.DataFrame([(key[0], *now)], columns=["sessao_id", "estado", "rodadas", "consulta"])
 
-    return messages.groupBy("sessao_id").applyInPandasWithState(run, SESSION, "estado string, rodadas int, consulta string", "update", GroupStateTimeout.NoTimeout)
-
-
-def sessions_table(messages: DataFrame, rounds: int = 1) -> DataFrame:
-    """The same state machine over a bounded table."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        now: tuple[Any, ...] = ("triagem", 0, "")
-        for text in f.sort_values("ordem")["texto"]:
-            now = _step(now, text or "", rounds)
-        return pd.DataFrame([(f["sessao_id"].iloc[0], *now)], columns=["sessao_id", "estado", "rodadas", "consulta"])
-
-    return messages.groupBy("sessao_id").applyInPandas(run, SESSION)
+    return events.groupBy("sessao_id").applyInPandasWithState(run, SESSION, "estado string, rodadas int, consulta string", "update", GroupStateTimeout.NoTimeout)
+
+
+def step(now: tuple[str, int, str], author: str, text: str | None, passages: float | None, rounds: int, problematise: bool) -> tuple[str, int, str]:
+    """dialogue.after() for one event outside of a plan; the tests hold the two equal."""
+    state, done, query = now
+    said = (text or "").strip()
+    if author == "pessoa":
+        if state == "triagem":
+            return ("problematizacao" if problematise and not _factual(said) else "recuperacao", done, text or "")
+        if state == "problematizacao":
+            if not said or said.lower() in dialogue.ESCAPES:
+                return "recuperacao", done, query
+            return "recuperacao" if done >= rounds else state, done, f"{query}\n{said}"
+        return now
+    if state == "problematizacao":
+        return (state, done + 1, query) if _asks(text or "") else ("recuperacao", done, query)
+    if state == "recuperacao":
+        return "resposta" if passages is not None and passages > 0 else "encerrada", done, query
+    return ("encerrada", done, query) if state == "resposta" else now
+
+
+def _factual(text: str) -> bool:
+    t = text.lower()
+    return not any(t.startswith(c) or f" {c}" in t for c in dialogue.PRODUCT_CUES) and t.startswith(dialogue.FACT_CUES)
+
+
+def _asks(text: str) -> bool:
+    """Whether a line is a question that dialogue.returned_questions() would return."""
+    bare = (re.sub(r'^"+|"+$', "", re.sub(dialogue.MARKER, "", line).strip()).strip() for line in re.split(r"\r\n|\r|\n", text))
+    return any("?" in x and 10 <= len(x) <= 300 for x in bare)

@@ -17,16 +17,15 @@ def one(spark, rows, schema, column):
 def test_passages(spark):
     p = ["a" * 50, "b" * 50, "c" * 50]
     short, giant = "x" * 10, "palavra " * 200
-    rows = [("\n\n".join(p),), ("\n\n".join([short] * 3),), (giant,), ("x" * 500,)]
-    df = spark.createDataFrame(rows, "t string")
-    got = [r[0] for r in df.select(chunking.by_paragraph(F.col("t"), 20, 200)).collect()]
-    assert got[0] == p and got[1] == []
-    grouped = [r[0] for r in df.select(chunking.grouped(F.col("t"), 20, 200)).collect()]
-    assert grouped[0] == ["\n\n".join(p)] and grouped[1] == ["\n\n".join([short] * 3)]
-    pieces = df.select(chunking.split_giant(F.col("t"), 50)).collect()
-    assert all(len(x) <= 50 for x in pieces[2][0]) and " ".join(pieces[2][0]).split() == giant.split()
-    slices = df.select(chunking.split_giant(F.col("t"), 100)).collect()[3][0]
-    assert slices == ["x" * 100] * 5
+    assert chunking.by_paragraph("\n\n".join(p), 20, 200) == p and chunking.by_paragraph("\n\n".join([short] * 3), 20, 200) == []
+    assert chunking.grouped("\n\n".join(p), 20, 200) == ["\n\n".join(p)] and chunking.grouped("\n\n".join([short] * 3), 20, 200) == ["\n\n".join([short] * 3)]
+    pieces = chunking.split_giant(giant, 50)
+    assert all(len(x) <= 50 for x in pieces) and " ".join(pieces).split() == giant.split()
+    assert chunking.split_giant("x" * 500, 100) == ["x" * 100] * 5
+    assert chunking.grouped("a" * 30 + "\n\n" + "b" * 300 + "\n\n" + "c" * 30, 20, 200) == ["a" * 30, "b" * 200, "b" * 100, "c" * 30]
+    df = spark.createDataFrame([("d.txt", "T", "\n\n".join(p)), ("e.txt", "T", None), (None, None, p[0])], "documento_origem string, titulo_pagina string, corpo string")
+    got = [(r["chunk_id"], r["chunk_index"]) for r in chunking.chunks(df, least=20, most=60).collect()]
+    assert got == [("d.txt::0", 0), ("d.txt::1", 1), ("d.txt::2", 2), ("0", 0)]
     with pytest.raises(ValueError):
         chunking.chunks(df, "other")
 
