@@ -3,7 +3,7 @@
 Sources in code-point order (null last) weigh 1, 2, 3, repeating, and share the corpus's words; a target stops at
 `limit` times its source's size and the excess is shared again by weight (water filling). Equal blocks of words go to
 the sources by highest quotients; each source's quota goes in the same way to its shards; a shard takes whole rounds
-of all its documents, then a run of blocks from a seeded start in a seeded order of its documents.
+of all its documents, then picks its other blocks by a seeded permutation, its documents being in a seeded order.
 
 Defined results: null text has size 0 and takes 0; a source without words has target 0; repeated rows are separate
 documents; an empty table gives an empty result; other columns of the input are ignored.
@@ -48,7 +48,7 @@ def apportion(parties: DataFrame, group: list[str], votes: str, seats: Column, o
     All seats with a quotient of at least half a divisor are won at once, with the divisor chosen so that they can't be too
     many; the few left over (fewer than the group has rows) go one by one to the next highest quotients."""
     g = Window.partitionBy(*group)
-    p = parties.withColumn("_seats", seats.cast("long")).withColumn("_all", F.sum(votes).over(g).cast("double")).withColumn("_k", F.count("*").over(g)).withColumn("_row", F.monotonically_increasing_id())
+    p = parties.withColumn("_seats", seats.cast("long")).withColumn("_all", F.sum(votes).over(g).cast("double")).withColumn("_k", F.count("*").over(g))
     free = F.col("_seats") - F.col("_k") / 2.0
     p = p.withColumn("_won", F.when((free > 0) & (F.col("_all") > 0), F.floor(F.col(votes) * free / F.col("_all") + 0.5)).otherwise(F.lit(0)).cast("long"))
     p = p.withColumn("_left", F.greatest(F.lit(0), F.col("_seats") - F.sum("_won").over(g)).cast("long"))
@@ -66,77 +66,98 @@ def apportion(parties: DataFrame, group: list[str], votes: str, seats: Column, o
     return joined.select(*[F.col(f"p.{c}").alias(c) for c in names], (F.col("p._won") + F.coalesce(F.col("x._more"), F.lit(0))).cast("long").alias(out))
 
 
-def mix_rows(slim: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, seed: int = SEED, block_words: int = 64, shard_docs: int = 2_000) -> DataFrame:
-    """(doc_id, source, size, ...) -> the same rows with source_size, target, whole rounds, and the run taken of the last.
+# Odd primes above any number of blocks a shard can have: multiplying by one permutes the blocks.
+STRIDES = (2147483647, 2147483629, 2147483587, 2147483579)
+FEW = 200_000  # tables of at most so many small rows are broadcast
 
-    Adds `rounds` (times that the whole document is taken) and `spans` (word ranges [from, to) taken once more)."""
-    clash = [c for c in slim.columns if c.startswith("_") or c in ("source_size", "target", "rounds", "spans", "taken")]
-    slim = slim.drop(*clash)
+
+def _small(table: DataFrame) -> DataFrame:
+    """`table` with a broadcast hint if its counted rows allow it."""
+    return F.broadcast(table) if table.count() <= FEW else table
+
+
+def _name(source: str = "source") -> Column:
+    """The source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
+
+
+def plan(slim: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, seed: int = SEED, block_words: int = 512, shard_docs: int = 2_000, most_shards: int = 50_000) -> tuple[DataFrame, DataFrame]:
+    """Of slim rows (doc_id, source, size): the sources (_s, source_size, target, block, n_shards), and their shards
+    (_s, _h, shard_size, rounds, picks, stride, shift): whole rounds of all the shard's words, and how many blocks are picked besides."""
     goal = targets(slim.select("source", "size"), weights, limit)
     block = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("total") / (1000 * F.count("*").over(Window.partitionBy())))))
     goal = goal.withColumn("block", block.cast("long")).withColumn("_one", F.lit(1))
-    quota = apportion(goal.select("_one", "source", "target", "block", "total", "source_size", "n_docs"), ["_one"], "target", F.round(F.col("total") / F.col("block")), "quota").drop("_one")
-    quota = cut(quota.withColumn("n_shards", F.ceil(F.col("n_docs") / F.lit(shard_docs)).cast("long")))
-
-    def on_source(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Left join by source, null equal to null; the few rows of `right` are spread over salts only by Spark's own skew handling."""
-        r = right.withColumnRenamed("source", "_s")
-        return left.join(r, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-
-    key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
-    d = on_source(slim, quota.select("source", "source_size", "target", "block", "quota", "n_shards"))
-    d = d.withColumn("_key", key).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id").cast("string")), F.col("n_shards")))
-    shards = d.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
-    shards = on_source(shards, quota.select("source", "block", "quota"))
-    shards = apportion(shards, ["source"], "shard_size", F.first("quota").over(Window.partitionBy("source")), "blocks")
+    quota = apportion(goal.select("_one", "source", "target", "block", "total", "source_size", "n_docs"), ["_one"], "target", F.round(F.col("total") / F.col("block")), "quota")
+    n_shards = F.least(F.lit(most_shards), F.ceil(F.col("n_docs") / F.lit(shard_docs))).cast("long")
+    sources = cut(quota.select(_name().alias("_s"), "source_size", "target", "block", "quota", n_shards.alias("n_shards")))
+    few = _small(sources)
+    d = slim.withColumn("_s", _name()).join(few, "_s").withColumn("_h", _shard(seed))
+    shards = d.groupBy("_s", "_h").agg(F.sum("size").alias("shard_size")).join(few.select("_s", "block", "quota"), "_s")
+    shards = apportion(shards, ["_s"], "shard_size", F.first("quota").over(Window.partitionBy("_s")), "blocks")
     # No document over `limit` times: a shard's words stop there too.
     shards = shards.withColumn("words", F.least(F.col("blocks") * F.col("block"), F.col("shard_size") * limit))
     shards = shards.withColumn("rounds", F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(0).cast("long"))
-    shards = shards.withColumn("_run", F.col("words") - F.col("rounds") * F.col("shard_size"))
-    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("shard_size") / F.col("block")).cast("long"))
-    shards = shards.withColumn("_from", F.least(F.col("shard_size"), F.pmod(F.xxhash64(F.lit(seed + 2), F.col("source"), F.col("shard")), n_blocks) * F.col("block")))
-    shards = shards.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "shard_size", "rounds", "_run", "_from")
-    d = d.join(shards, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_h"))).drop("_s", "_h")
-    order = Window.partitionBy("source", "shard").orderBy("_key", F.col("doc_id").asc_nulls_last(), "size")
-    d = d.withColumn("_to", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_at", F.col("_to") - F.col("size"))
+    shards = shards.withColumn("n_blocks", F.ceil(F.col("shard_size") / F.col("block")).cast("long"))
+    left = F.round((F.col("words") - F.col("rounds") * F.col("shard_size")) / F.col("block"))
+    seeded = lambda k: F.xxhash64(F.lit(seed + k), "_s", "_h")
+    stride = F.element_at(F.array(*map(F.lit, STRIDES)), (F.pmod(seeded(2), F.lit(len(STRIDES))) + 1).cast("int")).cast("long")
+    shards = shards.select("_s", "_h", "shard_size", "rounds", "n_blocks", F.least(left, F.col("n_blocks")).cast("long").alias("picks"), stride.alias("stride"), F.pmod(seeded(3), F.greatest(F.col("n_blocks"), F.lit(1))).alias("shift"))
+    return sources.select("_s", "source_size", "target", "block", "n_shards"), cut(shards)
+
+
+def _shard(seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id").cast("string")), F.col("n_shards"))
 
-    def overlap(lo: Column, hi: Column) -> Column:
-        a, b = F.greatest(lo, F.col("_at")) - F.col("_at"), F.least(hi, F.col("_to")) - F.col("_at")
-        return F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
 
-    ends = F.col("_from") + F.col("_run")
-    # The run may pass the shard's end and go on at its start.
-    spans = F.filter(F.array(overlap(F.lit(0), ends - F.col("shard_size")), overlap(F.col("_from"), F.least(ends, F.col("shard_size")))), lambda s: s["b"] > s["a"])
-    d = d.withColumn("spans", spans)
+def place(rows: DataFrame, sources: DataFrame, shards: DataFrame, tie: Column, seed: int = SEED) -> DataFrame:
+    """`rows` (doc_id, source, size, ...) with source_size, target, `rounds` (times that the whole document is taken), `spans`
+    (word ranges [a, b) taken once more: where the picked blocks of its shard lie in it) and `taken`.
+
+    One shuffle of the rows, by shard; the sources' and shards' tables are broadcast if they are small, else they follow the rows."""
+    d = rows.withColumn("_s", _name()).join(_small(sources), "_s").withColumn("_h", _shard(seed))
+    order = Window.partitionBy("_s", "_h").orderBy(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), F.col("doc_id").asc_nulls_last(), "size", tie)
+    d = d.withColumn("_to", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_at", F.col("_to") - F.col("size"))
+    d = d.join(_small(shards), ["_s", "_h"])
+
+    def picked(i: Column) -> Column:
+        return F.pmod(i * F.col("stride") + F.col("shift"), F.greatest(F.col("n_blocks"), F.lit(1))) < F.col("picks")
+
+    first, last = F.floor(F.col("_at") / F.col("block")).cast("long"), F.floor((F.col("_to") - 1) / F.col("block")).cast("long")
+    blocks = F.when((F.col("size") > 0) & (F.col("picks") > 0), F.sequence(first, last)).otherwise(F.array().cast("array<long>"))
+    d = d.withColumn("_blocks", blocks)
+    # Neighbouring picked blocks make one span.
+    begins = F.filter("_blocks", lambda i: picked(i) & ((i == first) | ~picked(i - 1)))
+    ends = F.filter("_blocks", lambda i: picked(i) & ((i == last) | ~picked(i + 1)))
+    span = lambda x, y: F.struct(
+        (F.greatest(x * F.col("block"), F.col("_at")) - F.col("_at")).alias("a"), (F.least((y + 1) * F.col("block"), F.col("_to")) - F.col("_at")).alias("b")
+    )
+    d = d.withColumn("spans", F.zip_with(begins, ends, span))
     extra = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["b"] - s["a"])
     d = d.withColumn("taken", (F.col("rounds") * F.col("size") + extra).cast("long"))
-    return d.drop("_key", "shard", "_to", "_at", "_run", "_from", "shard_size", "block", "quota", "n_shards")
+    return d.drop("_s", "_h", "_to", "_at", "_blocks", "shard_size", "n_blocks", "picks", "stride", "shift", "block", "n_shards")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken, source for every row of `docs` (doc_id, text, source)."""
-    slim = cut(docs.select("doc_id", "source", n_words().alias("size")))
-    return mix_rows(slim, **options).select("doc_id", "size", "source_size", "target", "taken", "source")
+    slim = cut(docs.select("doc_id", "source", n_words().alias("size"), F.xxhash64("text").alias("tie")))
+    return place(slim, *plan(slim, **options), F.col("tie"), options.get("seed", SEED)).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus itself: whole copies of each document and, where a run ends inside it, the words of that run.
+    """The mixed corpus itself: whole copies of each document and, where blocks are picked inside it, the words of these.
 
-    Rows keep the columns of `docs`; n_chars follows the text. Words of a cut row are joined by one space."""
+    Rows keep the columns of `docs`; n_chars follows the text. Words of a cut row are joined by one space. Rows of one id are put in
+    order by a hash of all their columns, so reruns agree."""
     names = docs.columns
-    text_id = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    plan = mix_rows(cut(docs.select("doc_id", "source", n_words().alias("size"), text_id.alias("text_id"))), **options).filter("taken > 0")
-    # Repeated rows (same id, source and text) are told apart by their number.
-    nth = Window.partitionBy("doc_id", "source", "text_id").orderBy(F.lit(1))
-    right = plan.withColumn("nth", F.row_number().over(nth)).select(F.struct("doc_id", "source", "text_id", "nth", "rounds", "spans", "size").alias("plan"))
-    left = docs.select(F.struct("*").alias("row"), "doc_id", "source", text_id.alias("text_id")).withColumn("nth", F.row_number().over(nth))
-    same = F.col("doc_id").eqNullSafe(F.col("plan.doc_id")) & F.col("source").eqNullSafe(F.col("plan.source")) & (F.col("text_id") == F.col("plan.text_id")) & (F.col("nth") == F.col("plan.nth"))
-    both = left.join(right, same).select("row", "plan")
-    whole = F.array_repeat(F.struct(F.lit(0).cast("long").alias("a"), F.col("plan.size").alias("b")), F.col("plan.rounds").cast("int"))
-    rows = both.withColumn("span", F.explode(F.concat(whole, F.col("plan.spans"))))
+    plans = plan(cut(docs.select("doc_id", "source", n_words().alias("size"))), **options)
+    simple = [c for c in names if docs.schema[c].dataType.typeName() not in ("map", "variant")]
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", n_words().alias("size"), F.xxhash64(*simple).alias("tie"))
+    placed = place(rows, *plans, F.col("tie"), options.get("seed", SEED)).filter("taken > 0").select("row", "size", "rounds", "spans")
+    whole = F.array_repeat(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")), F.col("rounds").cast("int"))
+    rows = placed.withColumn("span", F.explode(F.concat(whole, F.col("spans"))))
     words = F.filter(F.split(F.col("row.text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     part = F.array_join(F.slice(words, (F.col("span.a") + 1).cast("int"), (F.col("span.b") - F.col("span.a")).cast("int")), " ")
-    uncut = (F.col("span.a") == 0) & (F.col("span.b") == F.col("plan.size"))
+    uncut = (F.col("span.a") == 0) & (F.col("span.b") == F.col("size"))
     out = {c: F.col("row").getField(c) for c in names}
     out["text"] = F.when(uncut, F.col("row.text")).otherwise(part)
     rows = rows.select(*[v.alias(c) for c, v in out.items()])
