@@ -42,6 +42,7 @@ OFTEN = 32  # shingles in more prefixes than this come last in their sets' order
 MOST = 100_000  # of them, so many travel to the tasks
 SKETCH = 512  # bits
 BLOCK = 2048  # rows of a bucket that one step compares with each other
+FEW = 500_000  # so many rows of pairs to test (of some 30 bytes) are broadcast, more are joined by shuffles
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +238,7 @@ def near_pairs(start: np.ndarray, n: np.ndarray, sketch: np.ndarray, root: np.nd
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, least: int = 1 << 15) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """The rows of sorted batches again, as tables that end where a group (the first `keys` columns) does, and the n + 1 edges of their groups."""
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows, enough = 0, least
 
     def edges(t: pa.Table) -> np.ndarray:
         new = np.zeros(t.num_rows, bool)
@@ -252,14 +253,14 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, least: int = 1 <<
             continue
         held.append(b)
         rows += b.num_rows
-        if rows >= least:
+        if rows >= enough:
             t = pa.Table.from_batches(held).combine_chunks()
             e = edges(t)
             if len(e) > 2:
                 yield t.slice(0, e[-2]), e[:-1]
             held = t.slice(e[-2]).to_batches()
             rows = t.num_rows - int(e[-2])
-            least = max(1 << 15, 2 * rows)
+            enough = max(least, 2 * rows)
     if rows:
         t = pa.Table.from_batches(held).combine_chunks()
         yield t, edges(t)
@@ -336,8 +337,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut(down(edges), old)
     while True:
         # Done when every node has one parent and no parent has one itself.
-        n, distinct = e.agg(F.count("*"), F.count_distinct("a")).first()
-        if n == distinct and e.join(e.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+        parents = e.groupBy("a").agg(F.count("*").alias("n"), F.lit(1).alias("up")).unionByName(e.select(F.col("b").alias("a"), F.lit(0).cast("long").alias("n"), F.lit(2).alias("up")).distinct())
+        if parents.groupBy("a").agg(F.sum("n").alias("n"), F.sum("up").alias("up")).filter("n > 1 or up = 3").isEmpty():
             break
         e = cut(down(stars(down(stars(e, True)), False)), new)
         remove(spark, old)
@@ -473,29 +474,49 @@ def link_nodes(docs: DataFrame, k: int = 3, percent: int = PERCENT) -> tuple[Dat
     live = cut(live, temporary)
     names = live.select("node").distinct()
     # One row's text stands for each node: that of its least doc_id; rows without ids are all looked at.
-    stand = slim.filter(F.col("doc_id").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("s")).join(names, "node", "left_semi").select("s.*")
-    texts = docs.filter("doc_id is not null").join(stand, ["doc_id", "key"], "left_semi").unionByName(docs.filter("doc_id is null"))
+    stand = slim.filter(F.col("doc_id").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("s")).join(names, "node", "left_semi").select("node", "s.*")
+    stand = cut(stand, temporary)
+    unknown = docs.filter("doc_id is null")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for _, _, _, prints, edges, nodes in _sets(batches, k):
-            parts = [prints[edges[i] : edges[i + 1]].astype("<u8").tobytes() for i in range(len(nodes))]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(parts, pa.binary())], ["node", "parts"])
-
-    sets = cut(texts.select("text").mapInArrow(members, "node long, parts binary").join(names, "node", "left_semi").dropDuplicates(["node"]), temporary)
+            new = [i for i, x in enumerate(nodes) if x not in seen and not seen.add(x)]
+            parts = [prints[edges[i] : edges[i + 1]].astype("<u8").tobytes() for i in new]
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in new], pa.int64()), pa.array(parts, pa.binary())], ["node", "parts"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column("x"), b.column("y"), strict=True)):
-                v = np.concatenate([np.frombuffer(s.as_buffer(), "<u8") for s in (x, y)])
-                v.sort(kind="stable")
-                common = int((v[1:] == v[:-1]).sum())
-                ok[i] = 100 * common >= percent * (len(v) - common)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok)], ["a", "b", "ok"])
+        for t, start in whole_groups(batches, 2, 1):
+            found: list[tuple[int, int, bool]] = []
+            hub, node, parts = t.column("hub").to_pylist(), t.column("node").to_pylist(), t.column("parts")
+            for g, z in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
+                of = {node[i]: i for i in range(g, z)}
+                x = np.frombuffer(parts[of[hub[g]]].as_buffer(), "<u8")
+                for other, i in of.items():
+                    if other != hub[g]:
+                        v = np.concatenate([x, np.frombuffer(parts[i].as_buffer(), "<u8")])
+                        v.sort(kind="stable")
+                        common = int((v[1:] == v[:-1]).sum())
+                        found.append((max(other, hub[g]), min(other, hub[g]), 100 * common >= percent * (len(v) - common)))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "ok"])
 
     def tested(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        return cut(p.mapInArrow(verify, "a long, b long, ok boolean"), temporary)
+        """(a, b, ok) of the pairs. Each pair's end with more pairs is its hub; at most some 64 others meet a hub's set in one group, so a set travels
+        once for each of its pairs where it isn't the hub, and once for 64 where it is. No set of a node outside the pairs is made."""
+        p = cut(pairs, temporary)
+        degree = p.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+        p = p.join(degree.toDF("a", "da"), "a").join(degree.toDF("b", "db"), "b")
+        first = (F.col("da") > F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
+        p = p.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("node"), F.ceil(F.greatest("da", "db") / 64).cast("int").alias("n"))
+        p = p.select("hub", F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("part"), "node")
+        roles = cut(p.unionByName(p.select("hub", "part", F.col("hub").alias("node")).distinct()), temporary)
+        wanted = stand.join(roles.select("node").distinct(), "node", "left_semi").select("doc_id", "key")
+        if roles.count() <= FEW:
+            roles, wanted = F.broadcast(roles), F.broadcast(wanted)
+        texts = docs.filter("doc_id is not null").join(wanted, ["doc_id", "key"], "left_semi").unionByName(unknown)
+        met = texts.select("text").mapInArrow(members, "node long, parts binary").join(roles, "node").select("hub", "part", "node", "parts")
+        met = met.repartition("hub", "part").sortWithinPartitions("hub", "part")
+        return cut(met.mapInArrow(verify, "a long, b long, ok boolean"), temporary)
 
     def best(offers: DataFrame) -> DataFrame:
         chosen = offers.groupBy("node").agg(F.max(F.struct("degree", (-F.col("partner")).alias("p"))).alias("c")).select("node", (-F.col("c.p")).alias("partner"))
@@ -509,11 +530,13 @@ def link_nodes(docs: DataFrame, k: int = 3, percent: int = PERCENT) -> tuple[Dat
 
     done = tested(best(offered))
     roots = components(done.filter("ok"))
-    for turn in range(1, 5):
+    rest = cut(rooted(roots), temporary)
+    for turn in range(1, 4):
+        if rest.isEmpty():
+            break
         # The best connected node of each component in a bucket stands for it, and meets the other components' ones.
         often = done.filter("ok").select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-        open_rows = rooted(roots).join(often, "node", "left")
-        heads = open_rows.groupBy("sig", "root").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("l"), F.xxhash64(F.lit(turn), "node").alias("h"), "node")).alias("t"), F.first("n_roots").alias("n_roots"))
+        heads = rest.join(often, "node", "left").groupBy("sig", "root").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("l"), F.xxhash64(F.lit(turn), "node").alias("h"), "node")).alias("t"), F.first("n_roots").alias("n_roots"))
         heads = heads.select("sig", "root", F.col("t.node").alias("node"), "n_roots")
         heads = heads.withColumn("block", block_of(blocks(F.col("n_roots")), turn)).drop("n_roots")
         more = cells(heads, ["sig", "block"]).mapInArrow(hubs(percent), "sig long, node long, partner long, degree long")
@@ -522,17 +545,19 @@ def link_nodes(docs: DataFrame, k: int = 3, percent: int = PERCENT) -> tuple[Dat
         if new.filter("ok").isEmpty():
             break
         roots = components(done.filter("ok"))
+        rest = cut(rooted(roots), temporary)
     # What may still link: rows outside the largest component of their bucket, against all the bucket's rows.
-    rest = rooted(roots).withColumn("minor", F.col("root") != F.col("major"))
-    rest = rest.withColumn("xs", blocks(F.col("m") - F.col("in_major"))).withColumn("ys", blocks(F.col("m")))
-    one = rest.filter("m <= {}".format(BLOCK)).select("sig", F.lit(0).alias("xb"), F.lit(0).alias("yb"), "node", "root", "minor", F.lit(0).alias("side"))
-    many = rest.filter("m > {}".format(BLOCK))
-    x = many.filter("minor").select("sig", block_of(F.col("xs"), 8).alias("xb"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("yb"), "node", "root", "minor", F.lit(1).alias("side"))
-    y = many.select("sig", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("xb"), block_of(F.col("ys"), 9).alias("yb"), "node", "root", "minor", F.lit(2).alias("side"))
-    pairs = cells(one.unionByName(x).unionByName(y), ["sig", "xb", "yb"]).mapInArrow(crossing(percent), "a long, b long").distinct()
-    new = tested(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))
-    if not new.filter("ok").isEmpty():
-        roots = components(done.unionByName(new).filter("ok"))
+    if not rest.isEmpty():
+        rest = rest.withColumn("minor", F.col("root") != F.col("major"))
+        rest = rest.withColumn("xs", blocks(F.col("m") - F.col("in_major"))).withColumn("ys", blocks(F.col("m")))
+        one = rest.filter(F.col("m") <= BLOCK).select("sig", F.lit(0).alias("xb"), F.lit(0).alias("yb"), "node", "root", "minor", F.lit(0).alias("side"))
+        many = rest.filter(F.col("m") > BLOCK)
+        x = many.filter("minor").select("sig", block_of(F.col("xs"), 8).alias("xb"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("yb"), "node", "root", "minor", F.lit(1).alias("side"))
+        y = many.select("sig", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("xb"), block_of(F.col("ys"), 9).alias("yb"), "node", "root", "minor", F.lit(2).alias("side"))
+        pairs = cells(one.unionByName(x).unionByName(y), ["sig", "xb", "yb"]).mapInArrow(crossing(percent), "a long, b long").distinct()
+        new = tested(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))
+        if not new.filter("ok").isEmpty():
+            roots = components(done.unionByName(new).filter("ok"))
     remove(spark, temporary)
     return slim.drop("extra", "sketch"), roots
 

@@ -43,7 +43,7 @@ def test_lower_threshold_equals_brute_force(spark, monkeypatch, seed, often):
     rng = random.Random(seed)
     texts = ["", None, "one", "ONE", "a b c d", "a b c d e f g h", "a b c d e f g h i", "b c d e f g h i"]
     line = " ".join(f"c{i}" for i in range(12))
-    for _ in range(25):
+    for _ in range(15):
         base = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([6, 8, 9, 12, 30, 80, 200]))]
         for _ in range(rng.randint(1, 9)):
             w = list(base)

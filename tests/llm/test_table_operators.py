@@ -129,7 +129,7 @@ def test_jaccard_of_very_long_texts(spark):
     rng = random.Random(5)
     base = [f"w{rng.randint(0, 10**9)}" for _ in range(300_000)]
     near = [f"v{i}" if i % 80 == 0 else w for i, w in enumerate(base)]  # 3 of 80 shingles differ
-    far = [f"v{i}" if i % 40 == 0 else w for i, w in enumerate(base)]
+    far = [f"u{i}" if i % 20 == 0 else w for i, w in enumerate(base)]
     df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(x + "x" for x in far)), (4, " ".join(far))], "doc_id long, text string")
     assert [(r["doc_id"], r["component_id"]) for r in jaccard.join(df).orderBy("doc_id").collect()] == [(1, 1), (2, 1), (3, 3), (4, 4)]
 
