@@ -1,14 +1,13 @@
 """Removal of repeated passages.
 
-Rabin-Karp fingerprints of every window of `window` words are counted in Spark. Documents are dealt into blocks that
-are ranges of doc_id, so that a window's first document lies in the first block that holds it, and only a block's
-distinct fingerprints travel: (block, bucket of fingerprints) -> in a bucket, every block but a fingerprint's first
-learns that it repeats -> each block marks its windows, repeats within the block included, and merges the words that
-marked windows cover into maximal removal intervals.
+Rabin-Karp fingerprints of every window of `window` words are counted in Spark. Documents are dealt into blocks by a hash
+of doc_id; a block gives each of its distinct fingerprints once, with the least doc_id that holds it. A shuffle by
+fingerprint then finds those whose first document lies elsewhere, and only these go back to the blocks, which mark their
+windows, repeats within the block included, and merge the words that marked windows cover into maximal removal intervals.
 
-A passage in a third of all documents costs one fingerprint a block, not one a document; no task holds more than a
-block of text or a bucket of fingerprints, and the numbers of both follow the input's bytes. Fingerprints have 64
-bits; windows of different words are taken for equal with probability n^2 / 2^65 for n distinct windows.
+A passage in a third of all documents so costs one row a block and fingerprint, not one a document; no task holds more than
+a block of text, and the rows that travel are at most one a window. Fingerprints have 64 bits; windows of different words
+are taken for equal with probability n^2 / 2^65 for n distinct windows.
 
 Defined results: null or empty text has no words and keeps none (the digest is that of no bytes); rows with one doc_id
 are one document for the comparison (none removes the other's words); a null doc_id has no smaller one and is no
@@ -23,7 +22,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import flat, pack_sorted, unpack_sorted, windows, word_hashes, word_spans
@@ -31,20 +30,6 @@ from .common import flat, pack_sorted, unpack_sorted, windows, word_hashes, word
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, intervals array<struct<start:long,end:long>>, kept string"
 
 
-def _blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
-    """Docs with `block`, a monotone function of doc_id, and the number of blocks (by the table's bytes)."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(2, -(-total // block_bytes))
-    share = F.array(*[F.lit(i / n) for i in range(1, n)])
-    bounds = docs.agg(F.percentile_approx("doc_id", share, F.lit(max(10_000, 10 * n))).alias("b")).first()["b"] or []
-    from pyspark.ml.feature import Bucketizer
-
-    splits = [-float("inf"), *sorted({float(b) for b in bounds}), float("inf")]
-    if len(splits) < 3:
-        return docs.withColumn("block", F.lit(0.0)), n
-    return Bucketizer(splits=splits, inputCol="_id", outputCol="block").transform(docs.withColumn("_id", F.col("doc_id").cast("double"))).drop("_id"), n
-
-
 class _Block:
     """A block's windows: fingerprint, first word and document of each."""
 
@@ -55,12 +40,19 @@ class _Block:
         self.prints, self.at = windows(word_hashes(self.data, self.starts, self.ends), self.rows, k)
         self.k = k
 
+    def firsts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct fingerprints, ascending, and the least doc_id of each."""
+        order = np.lexsort((self.ids[self.rows[self.at]], self.prints))
+        prints = self.prints[order]
+        new = np.ones(len(prints), bool)
+        new[1:] = prints[1:] != prints[:-1]
+        return prints[new], self.ids[self.rows[self.at[order[new]]]]
+
     def marked(self, repeated: np.ndarray) -> np.ndarray:
-        """Which words some repeated window covers; `repeated` has the fingerprints that earlier blocks hold."""
+        """Which words some repeated window covers; `repeated` has the fingerprints that smaller documents of other blocks hold."""
         ids = self.ids[self.rows[self.at]]
-        distinct, which = np.unique(self.prints, return_inverse=True)
-        least = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, ids)
+        distinct, least = self.firsts()
+        which = np.searchsorted(distinct, self.prints)
         if len(repeated):
             p = np.minimum(np.searchsorted(repeated, distinct), len(repeated) - 1)
             least[repeated[p] == distinct] = np.iinfo(np.int64).min
@@ -79,36 +71,25 @@ def _intervals(marks: np.ndarray) -> list[dict[str, int]]:
 def remove_repeats(docs: DataFrame, window: int = 13, block_bytes: int = 5 << 20, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, intervals (maximal removed runs of words), kept (text; null if not asked for)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n = max(2, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("block")
     known, unknown = docs.filter(F.col("doc_id").isNotNull()), docs.filter(F.col("doc_id").isNull())
-    blocked, n = _blocks(known, block_bytes)
-    blocked = blocked.select(F.col("block").cast("long").alias("block"), "doc_id", "text")
-    shift = np.uint64(64 - (n - 1).bit_length())
+    blocked = known.select(block, "doc_id", "text")
 
     def sketch(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        prints = np.unique(_Block(table, window).prints)
-        bucket = (prints >> shift).astype(np.int64)
-        edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
-        blobs = [pack_sorted(prints[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-        return pa.table({"bucket": pa.array(bucket[edge[:-1]] if len(bucket) else [], pa.int64()), "block": pa.array([block] * len(blobs), pa.int64()), "prints": pa.array(blobs, pa.binary())})
-
-    def repeats(table: pa.Table) -> pa.Table:
-        blocks = table.column("block").to_numpy()
-        order = np.argsort(blocks, kind="stable")
-        column = table.column("prints").combine_chunks()
-        parts = [unpack_sorted(column[int(i)].as_py()) for i in order]
-        prints = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        by = np.argsort(prints, kind="stable")
-        prints, owner = prints[by], owner[by]
-        later = np.zeros(len(prints), bool)
-        later[1:] = prints[1:] == prints[:-1]
-        prints, owner = prints[later], owner[later]
-        by = np.argsort(owner, kind="stable")
-        prints, owner = prints[by], owner[by]
-        edge = np.searchsorted(owner, np.arange(len(parts) + 1))
-        out = [(int(blocks[order[i]]), pack_sorted(prints[edge[i] : edge[i + 1]])) for i in range(len(parts)) if edge[i + 1] > edge[i]]
-        return pa.table({"block": pa.array([o[0] for o in out], pa.int64()), "prints": pa.array([o[1] for o in out], pa.binary())})
+        b = _Block(table, window)
+        prints, least = b.firsts()
+        return pa.table({"print": pa.array(prints.view(np.int64)), "doc_id": pa.array(least)})
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(block, print) rows as one value a block and batch."""
+        for x in batches:
+            blocks, prints = x.column("block").to_numpy(), x.column("print").to_numpy().view(np.uint64)
+            by = np.lexsort((prints, blocks))
+            blocks, prints = blocks[by], prints[by]
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)]]) if len(blocks) else np.zeros(1, np.int64)
+            blobs = [pack_sorted(prints[a:z]) for a, z in zip(edge[:-1], edge[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[edge[:-1]], pa.int64()), pa.array(blobs, pa.binary())], ["block", "prints"])
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         b = _Block(left, window)
@@ -117,8 +98,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, block_bytes: int = 5 << 20
         edge = np.searchsorted(b.rows, np.arange(left.num_rows + 1))
         return _rows(b.ids, b.data, b.offsets, edge, marks, with_text)
 
-    sketched = blocked.groupBy("block").applyInArrow(sketch, "bucket long, block long, prints binary")
-    found = sketched.groupBy("bucket").applyInArrow(repeats, "block long, prints binary")
+    sketched = blocked.groupBy("block").applyInArrow(sketch, "print long, doc_id long")
+    # Counting: a block's windows repeat where some other block has their fingerprint in a smaller document.
+    by = Window.partitionBy("print").orderBy("doc_id")
+    found = sketched.withColumn("first", F.first("doc_id").over(by)).filter(F.col("first") < F.col("doc_id")).select(block, "print").mapInArrow(packed, "block long, prints binary")
     out = blocked.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(judge, RESULT)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
