@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, remove, shared_folder  # noqa: F401
+
 # The bytes that separate words, `[\x20\x09-\x0D]`.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -30,37 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where the session names none, one below the warehouse,
-    or in local mode, where executors run in the driver's process, a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.sparkContext.master
-        local = master == "local" or master.startswith("local[")
-        folder = tempfile.mkdtemp(prefix="corpuslens-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/corpuslens-{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def cut(df: DataFrame, into: list[str] | None = None) -> DataFrame:
-    """Materialise `df` as Parquet in the shared folder and read it back: lineage ends, lost executors cost nothing.
-
-    `into` gets the path, for remove() once nothing reads it any more."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corpuslens-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if into is not None:
-        into.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, paths: list[str]) -> None:
-    """Delete what cut() wrote, through the file system of each path; the list is emptied."""
-    while paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def crc32_of_id(column: str = "doc_id"):
     """crc32 of the id's decimal text, the basis of the hold-out rules."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
