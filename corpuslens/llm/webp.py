@@ -3,11 +3,13 @@
 The decoder reads the RIFF container and the whole lossless bitstream: prefix codes (simple and normal, their lengths
 coded by codes), entropy images with several code groups, back-references with the distance map, the colour cache, and
 the four transforms (predictor, cross-colour, subtract green, palette with bundled pixels) inverted in reverse order.
-Streams of literals under one code group take a vectorised path: every bit position is decoded at once by table, and
-only the positions where pixels start are followed one by one. All others are decoded pixel by pixel.
+Streams under one code group without a colour cache take a vectorised path: every bit position is decoded at once by
+table, and only the positions where pixels or back-references start are followed one by one. All others are decoded
+pixel by pixel.
 
-The encoder writes literals under per-image Huffman codes limited in length; options add each transform, a colour cache
-and back-references, which the tests use to exercise the decoder.
+The encoder of grey images picks the smallest of literals, literals with back-references, and a palette with bundled
+pixels. A general one adds each transform, a colour cache and back-references on request; the tests use it to exercise the
+whole decoder.
 """
 
 from __future__ import annotations
@@ -188,54 +190,94 @@ def read_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[read_code(r, n) for n in sizes] for _ in range(groups)]
     if groups == 1 and not cache_bits:
-        out = _literals(r, codes[0], width * height)
+        out = _events(r, codes[0], width, width * height)
         if out is not None:
             return out
     return _general(r, codes, width, height, cache_bits, block, index)
 
 
-def _literals(r: BitReader, codes: list[Code], n: int) -> np.ndarray | None:
-    """All pixels at once if none is a back-reference: each bit position's pixel and where the next would start."""
-    green, red, blue, alpha = codes[:4]
+def _prefix_values(symbol: np.ndarray, at: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """prefix_value() for many symbols whose further bits start at the bit positions `at`: values, and where they end."""
+    extra = np.where(symbol < 4, 0, (symbol - 2) >> 1)
+    bits = (word[np.minimum(at >> 3, len(word) - 1)].astype(np.int64) >> (at & 7)) & ((1 << extra) - 1)
+    return np.where(symbol < 4, symbol, ((2 + (symbol & 1)) << extra) + bits) + 1, at + extra
+
+
+def _events(r: BitReader, codes: list[Code], width: int, n: int) -> np.ndarray | None:
+    """All pixels of one code group without a colour cache: for each bit position the pixel or back-reference that would start there,
+    and where the next would; from the first on, only those that do are followed. Back-references are then copied in order."""
+    green, red, blue, alpha, distance = codes
     if all(c.single for c in codes[:4]) and green.symbol[0] < 256:
         value = int(alpha.symbol[0]) << 24 | int(red.symbol[0]) << 16 | int(green.symbol[0]) << 8 | int(blue.symbol[0])
         return np.full(n, value, np.uint32)
+    if green.single and green.symbol[0] > 255:
+        return None
+    refers = int(green.symbol.max()) > 255
     longest = sum(c.bits for c in (green, red, blue, alpha))
     first = r.at >> 3
-    most = min(len(r.data), first + (n * longest >> 3) + 8) + 8
+    most = len(r.data) if refers else min(len(r.data), first + (n * longest >> 3) + 8) + 8
     data = np.frombuffer(r.data[first:most] + bytes(16), np.uint8)
     words = np.ndarray((len(data) - 3,), "<u4", data.data, strides=(1,))
     # The 15 bits from every position on fit in 32 bits from its byte on.
     window = ((words[:, None] >> np.arange(8, dtype=np.uint32)[None, :]) & np.uint32(0x7FFF)).ravel()
+    end = len(window) - 1
     step = np.arange(len(window), dtype=np.int32)
     for k, c in enumerate((green, red, blue, alpha)):
         if not c.single:
             w = window[step] if k else window
             step += c.length.astype(np.int32).take(w & np.uint32((1 << c.bits) - 1), mode="clip")
-            np.minimum(step, len(window) - 1, out=step)
-    hop = memoryview(step)
-    at, p = [0] * n, r.at & 7
-    for i in range(n):
-        at[i] = p
-        p = hop[p]
-    at = np.array(at, np.int64)
-    value = np.zeros(n, np.uint32)
+            np.minimum(step, end, out=step)
+    at: list[int] | np.ndarray
+    p, copies = r.at & 7, None
+    if refers:
+        kind = green.symbol.astype(np.int32).take(window & np.uint32((1 << green.bits) - 1), mode="clip")
+        where = np.flatnonzero(kind > 255)
+        lengths, q = _prefix_values(kind[where] - 256, where + green.length[window[where] & np.uint32((1 << green.bits) - 1)], words)
+        v = window[np.minimum(q, end)] & np.uint32((1 << distance.bits) - 1)
+        back, q = _prefix_values(distance.symbol[v], np.minimum(q + distance.length[v], end), words)
+        step[where] = np.minimum(q, end)
+        made = np.ones(len(window), np.int32)
+        made[where] = lengths
+        hop, count, at, total = memoryview(step), memoryview(made), [], 0
+        while total < n:
+            at.append(p)
+            total += count[p]
+            p = hop[p]
+        if total > n:
+            raise ValueError("a back-reference runs over the image")
+        at = np.array(at, np.int64)
+        place = np.cumsum(made[at]) - made[at]
+        is_copy = kind[at] > 255
+        found = np.searchsorted(where, at[is_copy])
+        copies = list(zip(place[is_copy].tolist(), lengths[found].tolist(), back[found].tolist(), strict=True))
+        at, place = at[~is_copy], place[~is_copy]
+    else:
+        hop, at = memoryview(step), [0] * n
+        for i in range(n):
+            at[i] = p
+            p = hop[p]
+        at = np.array(at, np.int64)
+    value = np.zeros(len(at), np.uint32)
     for c, shift in ((green, 8), (red, 16), (blue, 0), (alpha, 24)):
         if c.single:
-            if shift == 8 and int(c.symbol[0]) > 255:
-                return None
             value |= np.uint32(int(c.symbol[0]) << shift)
             continue
         w = window[at] & np.uint32((1 << c.bits) - 1)
-        s = c.symbol[w]
-        if shift == 8 and int(s.max()) > 255:
-            return None
-        value |= s.astype(np.uint32) << np.uint32(shift)
+        value |= c.symbol[w].astype(np.uint32) << np.uint32(shift)
         at = at + c.length[w]
     if p > 8 * (len(r.data) - first):
         raise ValueError("the stream ends early")
     r.at = first * 8 + p
-    return value
+    if copies is None:
+        return value
+    out, near = np.zeros(n, np.uint32), near_distances()
+    out[place] = value
+    for to, length, d in copies:
+        d = d - 120 if d > 120 else max(1, near[d - 1][0] + near[d - 1][1] * width)
+        if d > to:
+            raise ValueError("a back-reference starts before the image")
+        out[to : to + length] = out[to - d : to - d + length] if d >= length else np.resize(out[to - d : to], length)
+    return out
 
 
 def _general(r: BitReader, codes: list[list[Code]], width: int, height: int, cache_bits: int, block: int, index: np.ndarray | None) -> np.ndarray:
@@ -681,20 +723,108 @@ def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), cache_bits: int
     return b"RIFF" + struct.pack("<I", 4 + len(chunks)) + b"WEBP" + chunks
 
 
+LEAST_MATCH, LONGEST_MATCH = 16, 4096
+
+
+def matches(flat: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of runs of at least 16 samples that stood before, the last time they did; longest from the first place on."""
+    n = len(flat)
+    if n < 2 * LEAST_MATCH:
+        return []
+    eight = np.ndarray((n - 7,), "<u8", np.ascontiguousarray(flat).data, strides=(1,))
+    key = eight[:-8] * np.uint64(0x9E3779B97F4A7C15) ^ (eight[8:] * np.uint64(0xD1342543DE82EF95) >> np.uint64(7))
+    order = np.argsort(key, kind="stable")
+    again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    if not len(again):
+        return []
+    later, before = order[again + 1], order[again]
+    by = np.argsort(later)
+    later, before = later[by], before[by]
+    found: list[tuple[int, int, int]] = []
+    i, m = 0, len(later)
+    while i < m:
+        p, q, length = int(later[i]), int(before[i]), 0
+        while length < LONGEST_MATCH and p + length < n:
+            k = min(256, n - p - length, LONGEST_MATCH - length)
+            differ = np.flatnonzero(flat[p + length : p + length + k] != flat[q + length : q + length + k])
+            length += int(differ[0]) if len(differ) else k
+            if len(differ):
+                break
+        if length >= LEAST_MATCH:
+            found.append((p, length, p - q))
+            i = int(np.searchsorted(later, p + length))
+        else:
+            i += 1
+    return found
+
+
+def _with_references(flat: np.ndarray, width: int, found: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code lengths of green and distances, and the values and sizes in bits of literals and back-references in their order."""
+    literal = np.ones(len(flat), bool)
+    short = {max(1, dx + dy * width): k + 1 for k, (dx, dy) in reversed(list(enumerate(near_distances())))}
+    parts = []
+    for p, length, d in found:
+        literal[p : p + length] = False
+        parts.append((*prefix_of(length), *prefix_of(short.get(d, d + 120))))
+    ls, le, lv, ds, de, dv = np.array(parts, np.int64).T
+    rest = flat[literal].astype(np.int64)
+    green = huffman_lengths(np.bincount(rest, minlength=280) + np.bincount(256 + ls, minlength=280))
+    far = huffman_lengths(np.bincount(ds, minlength=40))
+    g, g_bits, f = canonical(green), green if np.count_nonzero(green) > 1 else np.zeros_like(green), canonical(far)
+    f_bits = far if np.count_nonzero(far) > 1 else np.zeros_like(far)
+    value, size = g[256 + ls], g_bits[256 + ls]
+    for v, n in ((lv, le), (f[ds], f_bits[ds]), (dv, de)):
+        value, size = value | v << size, size + n
+    order = np.argsort(np.concatenate([np.flatnonzero(literal), [p for p, _, _ in found]]), kind="stable")
+    return green, far, np.concatenate([g[rest], value])[order], np.concatenate([g_bits[rest], size])[order]
+
+
 def encode_gray(samples: np.ndarray) -> bytes:
-    """A lossless WebP file of [height, width] 8-bit samples, opaque: with green subtracted, only green is left to code."""
+    """A lossless WebP file of [height, width] 8-bit samples, opaque, in the smallest of three forms: green subtracted, so that only green is left
+    to code, as literals alone or with back-references to runs that stood before; or, of 16 grey values at most, a palette whose indices share pixels."""
     height, width = samples.shape
+    flat = samples.ravel()
+    counts = np.bincount(flat, minlength=256)
+    lengths = huffman_lengths(counts)
+    plain = int((counts * lengths).sum()) if np.count_nonzero(counts) > 1 else 0
     w = BitWriter()
     for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 4), (1, 1), (SUBTRACT_GREEN, 2), (0, 1), (0, 1), (0, 1)):
         w.write(value, n)
-    flat = samples.ravel()
-    lengths = huffman_lengths(np.bincount(flat, minlength=256))
-    write_code(w, lengths)
-    for only in (0, 0, 255, 0):  # red, blue, alpha, distance
+    found = matches(flat) if plain > 512 else []
+    coded = _with_references(flat, width, found) if found else None
+    if coded is not None and int(coded[3].sum()) + 128 < plain:
+        write_code(w, coded[0])
+        distances = coded[1]
+    else:
+        coded = None
+        write_code(w, lengths)
+    for only in (0, 0, 255):  # red, blue, alpha
         for value, n in ((1, 1), (0, 1), (1, 1), (only, 8)):
             w.write(value, n)
-    if np.count_nonzero(lengths) > 1:
-        _pack(w, canonical(lengths)[flat], lengths[flat])
+    if coded is not None:
+        write_code(w, distances)
+        _pack(w, coded[2], coded[3])
+    else:
+        for value, n in ((1, 1), (0, 1), (1, 1), (0, 8)):
+            w.write(value, n)
+        if plain:
+            _pack(w, canonical(lengths)[flat], lengths[flat])
     body = w.value.to_bytes((w.n + 7) // 8, "little")
     chunk = b"VP8L" + struct.pack("<I", len(body)) + body + bytes(len(body) & 1)
-    return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
+    out = b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
+    if 1 < np.count_nonzero(counts) <= 16:
+        pixels = np.repeat(samples[:, :, None], 4, axis=2)
+        pixels[..., 0] = 255
+        other = encode(pixels, (PALETTE,))
+        out = min(out, other, key=len)
+    return out
+
+
+def form(data: bytes) -> str:
+    """Which of encode_gray()'s forms a file has: literals, references or palette."""
+    r = BitReader(data[20:])
+    r.read(8 + 14 + 14 + 4 + 1)
+    if r.read(2) == PALETTE:
+        return "palette"
+    r.read(3)
+    return "references" if int(read_code(r, 280).symbol.max()) > 255 else "literals"
