@@ -2,8 +2,9 @@
 
 The lengths' histogram (at most `capacity` bins) goes to the driver. A configuration linear program over it (patterns
 of lengths that fit one sequence; every length covered) is solved by multiplicative weights: lengths that lag behind
-gain weight, and knapsack dynamic programming prices the patterns of most weight. The solution is rounded down; what
-is left of the histogram is packed by best fit, still as counts. Pieces then take their places by rank in their length.
+gain weight, and knapsack dynamic programming prices the patterns of most weight. The solution is rounded, down first and
+then up for full patterns by the largest remainders; the program is solved again over what is left, and the last part of the
+histogram is packed by best fit, still as counts. Pieces then take their places by rank in their length.
 
 Defined results: null text is empty and makes one piece of one token (the separator); only documents over `capacity`
 are cut, the first piece being the shorter one; repeated rows are separate documents; an empty table gives no pieces.
@@ -26,36 +27,25 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Tokens:
-    """Ids of a text as little-endian 32-bit bytes, equal to those of the tokenizers library for the same file.
+    """Ids of a text by the tokenizers library, as little-endian 32-bit bytes.
 
     Text is cut at single spaces between two visible characters, where the vocabulary's pattern always breaks, and the
-    pieces are looked up in a bounded memory; unseen ones go to the byte-pair encoder of the same ranks."""
+    pieces are looked up in a bounded memory; unseen ones, and texts with other spacing or special tokens, go to the library."""
 
     SPACE = re.compile(r"\s |[ ]\s")
     SPECIAL = "<|endoftext|>"
 
     def __init__(self, name: str = "byte_bpe_50k", keep: int = 200_000):
-        import base64
-
         import public_tokenizers
-        import tiktoken
+        from tokenizers import Tokenizer
 
-        with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoder = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.path, self.whole, self.known, self.keep = public_tokenizers.path(f"{name}.json"), None, {}, keep
+        self.encoder, self.known, self.keep = Tokenizer.from_file(public_tokenizers.path(f"{name}.json")), {}, keep
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.encoder.encode_ordinary(text), "<u4").tobytes()
+        return np.array(self.encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if self.SPECIAL in text:
-            if self.whole is None:
-                from tokenizers import Tokenizer
-
-                self.whole = Tokenizer.from_file(self.path)
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self.SPACE.search(text):
+        if self.SPECIAL in text or self.SPACE.search(text):
             return self._encode(text)
         head, *rest = text.split(" ")
         known, get, out = self.known, self.known.get, [self._encode(head)]
@@ -126,8 +116,7 @@ def fractional(histogram: dict[int, int], capacity: int, rounds: int = 120, eta:
 
     Each round prices patterns against the weights by one dynamic program and reads off the best one, and the best with
     each of the `many` lengths covered least; each gets 1/`rounds` of what its scarcest length allows. A length's weight
-    then falls by exp(-eta) for every mean that its coverage lies above the mean. The sum is scaled to cover four fifths of the median,
-    as best fit places the last of a mixed histogram better than more copies of the patterns do."""
+    then falls by exp(-eta) for every mean that its coverage lies above the mean. The sum is scaled to cover the median length just so."""
     lengths = np.array(sorted(histogram), np.int64)
     need = np.array([histogram[int(n)] for n in lengths], float)
     where = {int(n): i for i, n in enumerate(lengths)}
@@ -147,7 +136,7 @@ def fractional(histogram: dict[int, int], capacity: int, rounds: int = 120, eta:
         share = covered / need
         weight = weight * np.exp(-eta * (share / share.mean() - 1))
         weight /= weight.max()
-    scale = 0.8 / max(float(np.median(covered / need)), 1e-12)
+    scale = 1 / max(float(np.median(covered / need)), 1e-12)
     return {p: v * scale for p, v in x.items()}
 
 
@@ -196,16 +185,41 @@ def best_fit(left: dict[int, int], capacity: int) -> dict[tuple, int]:
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = 2048) -> list[tuple[tuple, int]]:
-    """(pattern, number of sequences) that hold the histogram's pieces exactly."""
-    left = {n: c for n, c in histogram.items() if c > 0}
-    out: list[tuple[tuple, int]] = [(((n, 1),), left.pop(n)) for n in [capacity] if n in left]
-    for p, x in sorted(fractional(left, capacity).items(), key=lambda i: (-i[1], i[0])) if left else []:
-        n = min(int(x), *(left.get(length, 0) // times for length, times in p))
+def rounded(solution: dict[tuple, float], left: dict[int, int], capacity: int, full: float = 0.995) -> list[tuple[tuple, int]]:
+    """Whole numbers of patterns: each rounded down first; then, by the largest remainders, one more of those that fill a sequence, as long as
+    `left` (which is reduced) has their pieces."""
+    out: dict[tuple, int] = {}
+
+    def take(pattern: tuple, n: int) -> None:
+        n = min(n, *(left.get(length, 0) // times for length, times in pattern))
         if n > 0:
-            out.append((p, n))
-            for length, times in p:
+            out[pattern] = out.get(pattern, 0) + n
+            for length, times in pattern:
                 left[length] -= n * times
+
+    for p, x in sorted(solution.items(), key=lambda i: (-i[1], i[0])):
+        take(p, int(x))
+    for p, _ in sorted(solution.items(), key=lambda i: (int(i[1]) - i[1], i[0])):
+        if sum(length * times for length, times in p) >= full * capacity:
+            take(p, 1)
+    return sorted(out.items())
+
+
+def plan(histogram: dict[int, int], capacity: int = 2048, solves: int = 3) -> list[tuple[tuple, int]]:
+    """(pattern, number of sequences) that hold the histogram's pieces exactly: the program, solved again over what rounding left until that is
+    little, and best fit for the rest."""
+    left = {n: c for n, c in histogram.items() if c > 0}
+    out: list[tuple[tuple, int]] = [(((n, 1),), left.pop(n)) for n in [capacity] if n in left]
+    tokens = lambda: sum(n * c for n, c in left.items())
+    whole = tokens()
+    for _ in range(solves):
+        if tokens() <= 0.15 * whole:
+            break
+        left = {n: c for n, c in left.items() if c}
+        found = rounded(fractional(left, capacity), left, capacity)
+        if not found:
+            break
+        out += found
     out += sorted(best_fit({n: c for n, c in left.items() if c}, capacity).items())
     return out
 
