@@ -3,28 +3,40 @@
 Card numbers, phone numbers, social security numbers, IBANs, IP addresses, dates and e-mail addresses are found and
 validated, and each is replaced by another valid one of the same format: a keyed Feistel permutation over the numbers
 that the format allows. It is a permutation, so different values stay different, and equal values get equal pseudonyms
-in whatever document and layout they stand (separators are kept, digits are permuted).
+in whatever document and layout they stand (separators are kept, digits are permuted). Slashed dates are read day first
+unless the second number is over 12.
 
-The key is a parameter; who holds it can invert the permutation (`unmask`).
+The caller gives the key; who holds it can invert the permutation (direction "backward").
 
 Defined results: null text stays null; text without personal data is returned unchanged; other columns are kept.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import ipaddress
 import re
+import secrets
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KEY = b"corpuslens demonstration key"
+# The one- and two-digit country calling codes of E.164; all others have three digits.
+ONE_DIGIT_CODES = {"1", "7"}
+TWO_DIGIT_CODES = {*"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The secret that the session names in `spark.corpuslens.pii.key`. Without one a random key is drawn for this call: values stay
+    linked within its result, nobody can invert them, and another run gives other pseudonyms."""
+    named = spark.conf.get("spark.corpuslens.pii.key", None)
+    return named.encode() if named else secrets.token_bytes(32)
 
 
 class Feistel:
@@ -32,12 +44,12 @@ class Feistel:
 
     def __init__(self, key: bytes, tweak: str, size: int, rounds: int = 8):
         self.size, self.half = size, max(1, ((size - 1).bit_length() + 1) // 2)
-        self.mask = (1 << self.half) - 1
+        self.mask, self.bytes = (1 << self.half) - 1, max(16, (self.half + 7) // 8)
         base = hmac.new(key, f"{tweak}:{size}".encode(), "sha256").digest()
         self.keys = [base + bytes([i]) for i in range(rounds)]
 
     def _f(self, key: bytes, x: int) -> int:
-        return int.from_bytes(hashlib.blake2b(x.to_bytes(16, "little"), key=key, digest_size=16).digest(), "little") & self.mask
+        return int.from_bytes(hashlib.blake2b(x.to_bytes(self.bytes, "little"), key=key, digest_size=self.bytes).digest(), "little") & self.mask
 
     def _once(self, x: int, keys: list[bytes]) -> int:
         a, b = x >> self.half, x & self.mask
@@ -79,12 +91,14 @@ def only_digits(s: str) -> str:
 
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 DAYS = (LAST_DAY - FIRST_DAY).days + 1
+DAYS_UP_TO_12 = [i for i in range(DAYS) if (FIRST_DAY + timedelta(i)).day <= 12]
+DAYS_AFTER_12 = [i for i in range(DAYS) if (FIRST_DAY + timedelta(i)).day > 12]
 
 
 class Masker:
     """Finds, validates and permutes. `direction` is forward (pseudonyms) or backward (originals)."""
 
-    def __init__(self, key: bytes = KEY, direction: str = "forward"):
+    def __init__(self, key: bytes, direction: str = "forward"):
         self.key, self.direction, self.made, self.memo = key, direction, {}, {}
         kinds: list[tuple[str, str, Callable[[str], str | None]]] = [
             ("email", r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]*\.)+[A-Za-z]{2,24}\b", self.email),
@@ -119,12 +133,28 @@ class Masker:
         return refill(s, body + str(luhn(body)))
 
     def phone(self, s: str) -> str | None:
+        """The country code stays (numbers without one are North American); the national number is permuted, so that any layout of a
+        number gets the same one. North American numbers that could be dialled stay such."""
         d = only_digits(s)
         if not 7 <= len(d) <= 15:
             return None
-        code = re.match(r"\+\d{1,3}(?=[ .\-(])", s)
-        n = len(only_digits(code[0])) if code else 0
-        return refill(s, d[:n] + self.digits("phone", d[n:]))
+        if s[0] == "+":
+            code = d[:1] if d[:1] in ONE_DIGIT_CODES else d[:2] if d[:2] in TWO_DIGIT_CODES else d[:3]
+        else:
+            code = ""
+        national = d[len(code) :]
+        if not national:
+            return None
+        tweak = f"phone{code or '1'}"
+        kind = self._dialled(national) if code in ("", "1") else None
+        new = self.digits(tweak, national)
+        while kind is not None and self._dialled(new) != kind:
+            new = self.digits(tweak, new)
+        return refill(s, code + new)
+
+    @staticmethod
+    def _dialled(national: str) -> bool:
+        return len(national) == 10 and national[0] > "1" and national[3] > "1"
 
     def ssn(self, s: str) -> str | None:
         a, b, c = map(int, s.split("-"))
@@ -185,22 +215,11 @@ class Masker:
             return None
         if not 0 <= x < DAYS:
             return None
-        if f[1] == "/" and y == 4:
-            # Either order may be meant: days up to the 12th are permuted among themselves, the rest likewise.
-            few = int(f[d]) <= 12
-            n = 12 * 12 * 200 if few else None
-            if few:
-                k = (int(f[y]) - 1900) * 144 + (int(f[m]) - 1) * 12 + int(f[d]) - 1
-                k, r = divmod(self.permute("date12", k, n), 12)
-                yy, mm = divmod(k, 12)
-                return refill(s, "".join({y: f"{1900 + yy:04d}", m: f"{mm + 1:02d}", d: f"{r + 1:02d}"}[i] for i in (0, 2, 4)))
-            days = [i for i in range(DAYS) if (FIRST_DAY + timedelta(i)).day > 12] if not hasattr(self, "late") else self.late
-            self.late = days
-            import bisect
-
-            new = FIRST_DAY + timedelta(days[self.permute("date31", bisect.bisect_left(days, x), len(days))])
-        else:
-            new = FIRST_DAY + timedelta(self.permute("date", x, DAYS))
+        # Days up to the 12th are permuted among themselves, and so are the others: a date gets the same pseudonym in every layout, and
+        # one that is written month first can still be told from one that isn't.
+        early = int(f[d]) <= 12
+        days = DAYS_UP_TO_12 if early else DAYS_AFTER_12
+        new = FIRST_DAY + timedelta(days[self.permute("date-12" if early else "date-31", bisect.bisect_left(days, x), len(days))])
         return refill(s, "".join({y: f"{new.year:04d}", m: f"{new.month:02d}", d: f"{new.day:02d}"}[i] for i in (0, 2, 4)))
 
     def email(self, s: str) -> str | None:
@@ -212,23 +231,13 @@ class Masker:
             v = int(c) if c.isdigit() else ord(c.lower()) - 97 if c.isalpha() else 0
             shape.append((c, base))
             x, size = x * base + v, size * base
-        x = self.permute_long("email", x, size)
+        x = self.permute("email", x, size) if size > 1 else x
         out = []
         for c, base in reversed(shape):
             x, v = divmod(x, base)
             out.append(c if base == 1 else str(v) if base == 10 else chr(97 + v).upper() if c.isupper() else chr(97 + v))
         return "".join(reversed(out)) + "@" + domain
 
-    def permute_long(self, tweak: str, x: int, size: int) -> int:
-        """As permute, for ranges beyond the 32 bytes that a round takes: the digits' upper and lower parts apart, chained."""
-        if size <= 1 << 120:
-            return self.permute(tweak, x, size) if size > 1 else x
-        top = size >> 96
-        hi, lo = divmod(x, 1 << 96)
-        if hi >= top:  # the ragged end of the range
-            return (top << 96) + lo
-        return (self.permute_long(tweak + "h", hi, top) << 96) + self.permute(tweak + "l", lo, 1 << 96)
-
     def __call__(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and (kind, start, length) of each in it."""
         if not self.hint.search(text):
@@ -255,7 +264,7 @@ class Masker:
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())]))
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, text: str = "text", spans: str = "pii_spans", direction: str = "forward") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", spans: str = "pii_spans", direction: str = "forward") -> DataFrame:
     """`docs` with the text masked and a column of what was replaced where (kind, start, length in characters)."""
     names = [c for c in docs.columns if c != spans]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(spans, SPAN)])
@@ -275,7 +284,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, text: str = "text", spans: s
     return docs.select(*names).mapInArrow(run, schema)
 
 
-def pseudonymise_documents(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymise_documents(docs: DataFrame, key: bytes) -> DataFrame:
     """The documents themselves, masked; n_chars follows the text."""
     out = pseudonymise(docs, key).drop("pii_spans")
     if "n_chars" in docs.columns:

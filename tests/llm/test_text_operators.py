@@ -67,6 +67,31 @@ def test_gradients_match_differences():
         assert abs((up - down) / 2e-2 - g[at]) < 1e-3
 
 
+def test_scanned_logits_are_the_trained_networks():
+    net = langid.Network(["a", "b", "c"], hidden=4, span=16, seed=3)
+    texts = [b"short", b"", bytes(range(1, 200)), b"x" * 16, "é漢".encode() * 40]
+    data, offsets = flat(pa.array(texts, pa.binary()))
+    got = net.pool(data, offsets, batch=3)
+    for i, t in enumerate(texts):
+        if t:
+            total = np.zeros(3)
+            for a in range(0, len(t), 16):
+                x = langid.pad_windows([t[a : a + 16]], 16).T
+                total += net.log_probabilities(net.states(x))[:, x[:, 0] < 256].sum((1, 2))
+            assert np.allclose(got[i], total / len(t), atol=1e-4)
+
+
+def test_training_windows_are_bounded_and_from_whole_texts(spark):
+    text = "".join(chr(97 + i % 26) * 64 for i in range(2000))
+    rows = [(i, text, "aa") for i in range(30)] + [(7, text, "aa")] * 20 + [(100 + i, "tiny é", "zz") for i in range(5)] + [(None, text, "aa"), (999, "12", "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.training_windows(df, 10, 1000, 64, 2, 1).collect()
+    assert sorted(r["lang"] for r in got) == ["aa"] * 10 + ["zz"] * 5
+    assert all([len(w) for w in r["windows"]] == ([64, 64] if r["lang"] == "aa" else [7]) for r in got)
+    assert len({bytes(w[:1]) for r in got if r["lang"] == "aa" for w in r["windows"]}) > 4
+    assert len(langid.training_windows(df, 10, 6, 64, 2, 1).collect()) == 6
+
+
 def test_language_id(spark, corpus):
     df = spark.createDataFrame(corpus, DOCS)
     out = langid.identify(df, steps=80).collect()
@@ -102,6 +127,12 @@ def brute_repeats(rows, k):
     return sorted(out)
 
 
+def test_packed_ids_come_back():
+    for v in ([], [5], [-3, 2**40, 7, -3], [2**63 - 1, 0, -(2**63)], [9] * 4):
+        v = np.array(v, np.int64)
+        assert (substring.unpack(substring.pack(v)) == v).all()
+
+
 @pytest.mark.parametrize("block_bytes", [300, 5 << 20])
 def test_substring_dedup_equals_brute_force(spark, block_bytes):
     rng = random.Random(7)
@@ -129,12 +160,13 @@ def test_feistel_is_a_permutation():
         assert sorted(image) == list(range(size)) and [f.backward(i) for i in image] == list(range(size))
 
 
+KEY = b"a key of the tests"
 VALUES = ["4539578763621486", "4539 5787 6362 1486", "+1 (243) 555-5526", "078-05-1120", "10.20.30.40", "2021-02-28", "31/12/1999", "05/06/2003", "28.02.2020", "GB82 WEST 1234 5698 7654 32", "jane.doe7@mail.example.com", "+44 20 7946 0958"]
 
 
 @pytest.mark.parametrize("value", VALUES)
 def test_pseudonyms_keep_format_and_invert(value):
-    there, back = pii.Masker(), pii.Masker(direction="backward")
+    there, back = pii.Masker(KEY), pii.Masker(KEY, "backward")
     text = f"see {value}, and {value}{',' if value[0] == '+' else ''} 12."
     new, spans = there(text)
     assert value not in new and len(new) >= len(text) - 12 and len(spans) == 2
@@ -147,19 +179,85 @@ def test_pseudonyms_keep_format_and_invert(value):
 
 
 def test_equal_cards_stay_linked_over_layouts_and_decoys_stay():
-    m = pii.Masker()
+    m = pii.Masker(KEY)
     assert m("4539578763621486")[0] == m("4539 5787 6362 1486")[0].replace(" ", "")
     for clean in ("4539578763621487", "999.1.2.3", "000-12-3456", "2021-02-30", "version 1.2.3", "3.14159 and 42", "GB83 WEST 1234 5698 7654 32"):
         assert m(clean) == (clean, [])
 
 
+def test_equal_values_stay_linked_over_layouts():
+    m = pii.Masker(KEY)
+    digits = lambda t: "".join(c for c in m(t)[0] if c.isdigit())
+    phones = ["+1 243 555 5526", "+12435555526", "(243) 555-5526", "243-555-5526", "+1-243-555-5526"]
+    assert len({digits(p)[-10:] for p in phones}) == 1 and all(digits(p).startswith("1") for p in phones if p[0] == "+")
+    assert digits("+44 20 7946 0958") == digits("+442079460958") and digits("+442079460958").startswith("44")
+    assert digits("+351 21 123 4567") == digits("+351211234567")
+    for y, mo, d in [(2021, 2, 28), (1999, 12, 31), (2003, 6, 5), (2024, 2, 29)]:
+        iso = m(f"{y}-{mo:02d}-{d:02d}")[0].split("-")
+        assert m(f"{d:02d}/{mo:02d}/{y}")[0].split("/") == iso[::-1] and m(f"{d:02d}.{mo:02d}.{y}")[0].split(".") == iso[::-1]
+        if d > 12:
+            assert m(f"{mo:02d}/{d:02d}/{y}")[0].split("/") == [iso[1], iso[2], iso[0]]
+    back = pii.Masker(KEY, "backward")
+    for t in ("12/31/1999", "a" * 60 + "@x.org", "zz" * 30 + "99@x.org", "+12435555526", "243-155-5526"):
+        assert m(t)[0] != t and back(m(t)[0])[0] == t
+
+
+def brute_feistel(key, tweak, size, x):
+    """Independent of the module: the network as its description states it."""
+    import hmac
+
+    bits = 2 * max(1, -(-(size - 1).bit_length() // 2))
+    root = hmac.new(key, f"{tweak}:{size}".encode(), "sha256").digest()
+    while True:
+        left, right = divmod(x, 1 << bits // 2)
+        for i in range(8):
+            mac = hashlib.blake2b(right.to_bytes(16, "little"), key=root + bytes([i]), digest_size=16).digest()
+            left, right = right, left ^ int.from_bytes(mac, "little") % (1 << bits // 2)
+        x = right * (1 << bits // 2) + left
+        if x < size:
+            return x
+
+
+def test_pseudonymised_table_equals_brute_force(spark):
+    import ipaddress
+    import re
+
+    rng = random.Random(2)
+    ip = lambda: str(ipaddress.IPv4Address(rng.randint(0, 2**32 - 1)))
+    ssn = lambda: f"{rng.choice([1, 7, 665, 667, 899]):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"
+    texts = [words(rng, "abc", 4) + "".join(f" {rng.choice([ip, ssn])()} {words(rng, 'xyz', 2)}," for _ in range(rng.randint(0, 5))) for _ in range(80)]
+    texts += ["", None, texts[0], " ".join(["word 10.0.0.1"] * 50_000)]
+
+    def new_ip(m):
+        return str(ipaddress.IPv4Address(brute_feistel(KEY, "ip", 1 << 32, int(ipaddress.IPv4Address(m[0])))))
+
+    def new_ssn(m):
+        a, b, c = map(int, m[0].split("-"))
+        areas = [i for i in range(1, 900) if i != 666]
+        x = brute_feistel(KEY, "ssn", 898 * 99 * 9999, (areas.index(a) * 99 + b - 1) * 9999 + c - 1)
+        return f"{areas[x // 9999 // 99]:03d}-{x // 9999 % 99 + 1:02d}-{x % 9999 + 1:04d}"
+
+    def brute(t):
+        return None if t is None else re.sub(r"\d+-\d+-\d+", new_ssn, re.sub(r"\d+\.\d+\.\d+\.\d+", new_ip, t))
+
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, kind string").repartition(3)
+    assert {r["doc_id"]: r["text"] for r in pii.pseudonymise(df, KEY).collect()} == {i: brute(t) for i, t in enumerate(texts)}
+
+
+def test_session_key_is_the_named_one_or_random(spark):
+    assert pii.session_key(spark) != pii.session_key(spark)
+    spark.conf.set("spark.corpuslens.pii.key", "named")
+    assert pii.session_key(spark) == b"named"
+    spark.conf.unset("spark.corpuslens.pii.key")
+
+
 def test_pseudonymised_table(spark):
     df = spark.createDataFrame([(1, "ip 10.20.30.40", "a", 14), (2, None, None, None), (3, "", "b", 0)], "doc_id long, text string, pii_spans string, n_chars long")
-    out = {r["doc_id"]: r for r in pii.pseudonymise(df).collect()}
+    out = {r["doc_id"]: r for r in pii.pseudonymise(df, KEY).collect()}
     assert out[2]["text"] is None and out[3]["text"] == "" and len(out[1]["pii_spans"]) == 1
-    docs = pii.pseudonymise_documents(df.drop("pii_spans"))
+    docs = pii.pseudonymise_documents(df.drop("pii_spans"), KEY)
     assert docs.columns == ["doc_id", "text", "n_chars"] and docs.filter("n_chars <> length(text)").count() == 0
-    assert pii.pseudonymise(df.limit(0)).count() == 0
+    assert pii.pseudonymise(df.limit(0), KEY).count() == 0
 
 
 def labelled_corpus():
