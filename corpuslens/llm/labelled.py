@@ -35,10 +35,11 @@ def distinct_by_row(features: np.ndarray, rows: np.ndarray, bits: int) -> tuple[
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, out: Column, extract: Extractor, limit: int, seed: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Features and labels (0/1) of at most `limit` labelled documents outside the held-out fold, by a hash of their ids.
 
-    Of a document labelled twice the larger label counts; other label values than 0 and 1 and null ones do not."""
+    Of a document labelled twice the larger label counts; other label values than 0 and 1 and null ones do not. Of rows with one id the
+    least text is learned, so that no more than `limit` rows reach the driver however often an id repeats."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("y").alias("y"))
     known = known.filter(~out).orderBy(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), "doc_id").limit(limit)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -50,7 +51,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, out: Column,
                 found += [f[edge[i] : edge[i + 1]].astype("<u4").tobytes() for i in range(z - a)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(found, pa.binary())], ["doc_id", "y", "f"])
 
-    got = rows.mapInArrow(run, "doc_id long, y int, f binary").collect()
+    got = rows.mapInArrow(run, "doc_id long, y int, f binary").collect()  # `limit` rows at most
     got.sort(key=lambda r: (r["doc_id"], r["f"]))
     return [np.frombuffer(r["f"], "<u4") for r in got], np.array([r["y"] for r in got], float)
 
