@@ -447,7 +447,10 @@ def link_nodes(docs: DataFrame, k: int = 3, percent: int = PERCENT) -> tuple[Dat
     spark = docs.sparkSession
     temporary: list[str] = []
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    slim, order = _segments(docs, k, percent, []) if percent >= PERCENT else _prefixes(docs, k, percent, [])
+    described: list[str] = []
+    slim, order = _segments(docs, k, percent, described) if percent >= PERCENT else _prefixes(docs, k, percent, described)
+    slim = cut(slim.drop("extra"))
+    remove(spark, described)
     buckets = _buckets(docs, k, order, temporary)
     # Nodes that share a signature with others: their sizes and sketches.
     about = slim.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").cast("int").alias("n"), F.first("sketch").alias("sketch"))
@@ -559,7 +562,7 @@ def link_nodes(docs: DataFrame, k: int = 3, percent: int = PERCENT) -> tuple[Dat
         if not new.filter("ok").isEmpty():
             roots = components(done.unionByName(new).filter("ok"))
     remove(spark, temporary)
-    return slim.drop("extra", "sketch"), roots
+    return slim.drop("sketch"), roots
 
 
 def join(docs: DataFrame, k: int = 3, percent: int = PERCENT) -> DataFrame:
@@ -581,10 +584,18 @@ def keep_one(docs: DataFrame, k: int = 3, percent: int = PERCENT) -> DataFrame:
     roots = roots.withColumnRenamed("node", "_node")
     named = slim.filter("n_shingles > 0").join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("_id"), F.col("key").alias("_key")))
-    kept = named.groupBy("root").agg(least.alias("t")).select("t._id", "t._key")
+    kept = cut(named.groupBy("root").agg(least.alias("t")).select("t._id", "t._key"))
+    if kept.count() <= FEW:  # rows of 16 bytes; more of them follow the documents by a shuffle
+        kept = F.broadcast(kept)
     worded = F.coalesce(F.col("text").rlike(WORD_PATTERN), F.lit(False))
     marked = docs.filter(worded).select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_i"), F.xxhash64("text").alias("_k"))
-    known = marked.join(kept, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")))
-    others = [F.col("_row").getField(c) for c in docs.columns if c not in ("doc_id", "text") and docs.schema[c].dataType.simpleString() in ("string", "bigint", "int", "double")]
-    known = known.withColumn("_nth", F.row_number().over(Window.partitionBy("_i", "_k").orderBy(F.xxhash64(*others) if others else F.lit(1)))).filter("_nth = 1")
+    known = marked.join(kept, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key"))).select("_row", "_i", "_k")
+    # Only rows whose id and text another row has too need a choice between them.
+    again = cut(slim.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    if not again.isEmpty():
+        same = F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key"))
+        others = [F.col("_row").getField(c) for c in docs.columns if c not in ("doc_id", "text") and docs.schema[c].dataType.simpleString() in ("string", "bigint", "int", "double")]
+        nth = F.row_number().over(Window.partitionBy("_i", "_k").orderBy(F.xxhash64(*others) if others else F.lit(1)))
+        one = known.join(again, same, "left_semi").withColumn("_nth", nth).filter("_nth = 1").select("_row", "_i", "_k")
+        known = known.join(again, same, "left_anti").unionByName(one)
     return known.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]).unionByName(docs.filter(~worded))
