@@ -293,7 +293,10 @@ def test_tokens_equal_the_librarys():
     from tokenizers import Tokenizer
 
     whole, ours = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.Tokens()
-    for t in TEXTS:
+    rng = random.Random(6)
+    odd = "ab Zé漢字\u0301\u200b\u00a0\t\n\r'’sd0١²🙂.,!?-_<|>\x00\x7f"
+    strange = ["".join(rng.choices(odd, k=rng.randint(1, 40))) for _ in range(2000)] + ["".join(chr(rng.choice([rng.randint(1, 0xD7FF), rng.randint(0xE000, 0x10FFFF)])) for _ in range(12)) for _ in range(500)]
+    for t in TEXTS + strange:
         assert np.frombuffer(ours(t or ""), "<u4").tolist() == whole.encode(t or "", add_special_tokens=False).ids
 
 
