@@ -1,13 +1,15 @@
 """Removal of repeated passages.
 
 Rabin-Karp fingerprints of every window of `window` words are counted in Spark. Documents are dealt into blocks by a hash
-of doc_id; a block gives each of its distinct fingerprints once, with the least doc_id that holds it. A shuffle by
-fingerprint then finds those whose first document lies elsewhere, and only these go back to the blocks, which mark their
-windows, repeats within the block included, and merge the words that marked windows cover into maximal removal intervals.
+of doc_id; a block gives each of its distinct fingerprints once, with the least doc_id that holds it. A shuffle by the
+fingerprints' first bits (buckets) counts them and finds those whose first document lies in another block; only these go
+back to the blocks, which mark their windows, repeats within the block included, and merge the words that marked windows
+cover into maximal removal intervals.
 
-A passage in a third of all documents so costs one row a block and fingerprint, not one a document; no task holds more than
-a block of text, and the rows that travel are at most one a window. Fingerprints have 64 bits; windows of different words
-are taken for equal with probability n^2 / 2^65 for n distinct windows.
+A passage in a third of all documents so costs one fingerprint a block, not one a document; no task holds more than a block
+of text or a bucket of fingerprints, and both numbers follow the input's bytes. What travels is packed, some nine bytes a
+fingerprint (as rows of two numbers it weighs a third more), in at most as many pieces as there are fingerprints.
+Fingerprints have 64 bits; windows of different words are taken for equal with probability n^2 / 2^65 for n distinct ones.
 
 Defined results: null or empty text has no words and keeps none (the digest is that of no bytes); rows with one doc_id
 are one document for the comparison (none removes the other's words); a null doc_id has no smaller one and is no
@@ -22,7 +24,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import flat, pack_sorted, unpack_sorted, windows, word_hashes, word_spans
@@ -63,6 +65,25 @@ class _Block:
         return np.cumsum(step[:-1]) > 0
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Integers in any order as a byte of width, the least, and fixed-width distances from it."""
+    if not len(values):
+        return b""
+    low = int(values.min())
+    far = values.astype(np.uint64) - np.uint64(low & 0xFFFFFFFFFFFFFFFF)  # modulo 2^64, as in unpack
+    width = max(1, (int(far.max()).bit_length() + 7) // 8)
+    return bytes([width]) + low.to_bytes(8, "little", signed=True) + far.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    """The inverse of pack."""
+    if not blob:
+        return np.zeros(0, np.int64)
+    wide = np.zeros(((len(blob) - 9) // blob[0], 8), np.uint8)
+    wide[:, : blob[0]] = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, blob[0])
+    return (wide.view("<u8").ravel() + np.uint64(int.from_bytes(blob[1:9], "little"))).view(np.int64)
+
+
 def _intervals(marks: np.ndarray) -> list[dict[str, int]]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], marks.view(np.int8), [0]])))
     return [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
@@ -76,20 +97,34 @@ def remove_repeats(docs: DataFrame, window: int = 13, block_bytes: int = 5 << 20
     known, unknown = docs.filter(F.col("doc_id").isNotNull()), docs.filter(F.col("doc_id").isNull())
     blocked = known.select(block, "doc_id", "text")
 
-    def sketch(table: pa.Table) -> pa.Table:
-        b = _Block(table, window)
-        prints, least = b.firsts()
-        return pa.table({"print": pa.array(prints.view(np.int64)), "doc_id": pa.array(least)})
+    shift = np.uint64(64 - (n - 1).bit_length())
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(block, print) rows as one value a block and batch."""
-        for x in batches:
-            blocks, prints = x.column("block").to_numpy(), x.column("print").to_numpy().view(np.uint64)
-            by = np.lexsort((prints, blocks))
-            blocks, prints = blocks[by], prints[by]
-            edge = np.concatenate([[0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)]]) if len(blocks) else np.zeros(1, np.int64)
-            blobs = [pack_sorted(prints[a:z]) for a, z in zip(edge[:-1], edge[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(blocks[edge[:-1]], pa.int64()), pa.array(blobs, pa.binary())], ["block", "prints"])
+    def sketch(table: pa.Table) -> pa.Table:
+        """The block's fingerprints with their least ids, a row for each bucket (their first bits) that has some."""
+        prints, least = _Block(table, window).firsts()
+        bucket = (prints >> shift).astype(np.int64)
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
+        runs = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+        of = int(table.column("block")[0].as_py())
+        return pa.table({"bucket": pa.array(bucket[edge[:-1]], pa.int64()), "block": pa.array([of] * len(runs), pa.int64()), "prints": pa.array([pack_sorted(prints[a:z]) for a, z in runs], pa.binary()), "ids": pa.array([pack(least[a:z]) for a, z in runs], pa.binary())})
+
+    def count(table: pa.Table) -> pa.Table:
+        """One bucket: of each fingerprint that several blocks have, the blocks whose least id isn't the least of all."""
+        blocks, columns = table.column("block").to_numpy(), [table.column(c).to_pylist() for c in ("prints", "ids")]
+        parts = [unpack_sorted(x) for x in columns[0]]
+        prints, ids = np.concatenate(parts), np.concatenate([unpack(x) for x in columns[1]])
+        owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        by = np.argsort(prints, kind="stable")
+        prints, ids, owner = prints[by], ids[by], owner[by]
+        start = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
+        size = np.diff(np.append(start, len(prints)))
+        later = np.repeat(np.minimum.reduceat(ids, start), size) < ids
+        prints, owner = prints[later], owner[later]
+        by = np.argsort(owner, kind="stable")
+        prints, owner = prints[by], owner[by]
+        edge = np.searchsorted(owner, np.arange(len(parts) + 1))
+        some = [i for i in range(len(parts)) if edge[i + 1] > edge[i]]
+        return pa.table({"block": pa.array(blocks[some], pa.int64()), "prints": pa.array([pack_sorted(prints[edge[i] : edge[i + 1]]) for i in some], pa.binary())})
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         b = _Block(left, window)
@@ -98,10 +133,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, block_bytes: int = 5 << 20
         edge = np.searchsorted(b.rows, np.arange(left.num_rows + 1))
         return _rows(b.ids, b.data, b.offsets, edge, marks, with_text)
 
-    sketched = blocked.groupBy("block").applyInArrow(sketch, "print long, doc_id long")
+    sketched = blocked.groupBy("block").applyInArrow(sketch, "bucket long, block long, prints binary, ids binary")
     # Counting: a block's windows repeat where some other block has their fingerprint in a smaller document.
-    by = Window.partitionBy("print").orderBy("doc_id")
-    found = sketched.withColumn("first", F.first("doc_id").over(by)).filter(F.col("first") < F.col("doc_id")).select(block, "print").mapInArrow(packed, "block long, prints binary")
+    found = sketched.groupBy("bucket").applyInArrow(count, "block long, prints binary")
     out = blocked.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(judge, RESULT)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
