@@ -202,6 +202,47 @@ def sketches(prints: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out
 
 
+def wide_sketches(prints: np.ndarray, edges: np.ndarray) -> list[bytes | None]:
+    """Of each set over SKETCH shingles the same parities by as many bits as the next power of two, which holds the set's size: the short sketch of a
+    long set is full, and leaves out nothing. Folded to fewer bits by exclusive or it is the sketch of so many bits. None for other sets."""
+    size = np.diff(edges)
+    long = size > SKETCH
+    out: list[bytes | None] = [None] * len(size)
+    if not long.any():
+        return out
+    bits = np.left_shift(1, np.ceil(np.log2(size[long])).astype(np.int64))
+    ends = np.cumsum(bits)
+    inside = np.repeat(long, size)
+    bit = mix(prints[edges[0] : edges[-1]][inside] ^ np.uint64(0x1F83D9ABFB41BD6B)) & np.repeat(bits - 1, size[long]).astype(np.uint64)
+    flips = np.zeros(int(ends[-1]), np.uint8)
+    np.add.at(flips, np.repeat(ends - bits, size[long]) + bit.astype(np.int64), np.uint8(1))
+    packed = np.packbits(flips & 1)
+    for i, a, z in zip(np.flatnonzero(long).tolist(), ((ends - bits) // 8).tolist(), (ends // 8).tolist(), strict=True):
+        out[i] = packed[a:z].tobytes()
+    return out
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """In how many bits two wide sketches differ, the longer one folded to the length of the other: never more than their sets differ in shingles."""
+    u, v = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    v = np.bitwise_xor.reduce(v.reshape(-1, len(u)), axis=0)
+    return int(np.bitwise_count(u.view(np.uint64) ^ v.view(np.uint64)).sum(dtype=np.int64))
+
+
+def screen(percent: int):
+    """(a, b, far) of pairs with the sizes and wide sketches of their ends: far if these show that the two can't link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = np.zeros(batch.num_rows, bool)
+            na, nb, wa, wb = (batch.column(c) for c in ("na", "nb", "wa", "wb"))
+            for i in np.flatnonzero(wa.is_valid().to_numpy(False) & wb.is_valid().to_numpy(False)).tolist():
+                far[i] = apart(wa[i].as_py(), wb[i].as_py()) * (100 + percent) > (na[i].as_py() + nb[i].as_py()) * (100 - percent)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(far)], ["a", "b", "far"])
+
+    return run
+
+
 def near(i: np.ndarray, j: np.ndarray, n: np.ndarray, sketch: np.ndarray, root: np.ndarray, percent: int) -> np.ndarray:
     """Whether rows i and j (broadcast against each other) are of different roots and can link by their sizes and sketches."""
     r, s = n[i], n[j]
@@ -347,17 +388,17 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-SLIM = "doc_id long, key long, n_shingles long, node long, sketch binary"
+SLIM = "doc_id long, key long, n_shingles long, node long, sketch binary, wide binary"
 
 
 def _described(docs: DataFrame, k: int, extra: Callable[[np.ndarray, np.ndarray], pa.Array], kind: str, paths: list[str]) -> DataFrame:
-    """(doc_id, key, n_shingles, node, sketch, extra) of every row, in one pass over the texts."""
+    """(doc_id, key, n_shingles, node, sketch, wide, extra) of every row, in one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, a, z, prints, edges, nodes in _sets(batches, k):
             sketch = sketches(prints, edges).view(np.uint8).reshape(z - a, -1)
             binary = pa.array([row.tobytes() for row in sketch], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(a, z - a), b.column("key").slice(a, z - a), pa.array(np.diff(edges), pa.int64()), pa.array(nodes, pa.int64()), binary, extra(prints, edges)], ["doc_id", "key", "n_shingles", "node", "sketch", "extra"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(a, z - a), b.column("key").slice(a, z - a), pa.array(np.diff(edges), pa.int64()), pa.array(nodes, pa.int64()), binary, pa.array(wide_sketches(prints, edges), pa.binary()), extra(prints, edges)], ["doc_id", "key", "n_shingles", "node", "sketch", "wide", "extra"])
 
     return cut(docs.mapInArrow(run, f"{SLIM}, extra {kind}"), paths)
 
@@ -453,14 +494,15 @@ def link_nodes(docs: DataFrame, k: int = 3, percent: int = PERCENT) -> tuple[Dat
     remove(spark, described)
     buckets = _buckets(docs, k, order, temporary)
     # Nodes that share a signature with others: their sizes and sketches.
-    about = slim.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").cast("int").alias("n"), F.first("sketch").alias("sketch"))
+    about = slim.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").cast("int").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
     about = cut(about, temporary)
+    long = about.filter("wide is not null").select("node", "n", "wide")
     # Few signatures are shared by more rows than fit a block.
     hot = cut(buckets.groupBy("sig").agg(F.count("*").alias("m")).filter(F.col("m") > BLOCK), temporary)
 
     def cells(rows: DataFrame, by: list[str]) -> DataFrame:
         """Rows with sizes and sketches, each group together and in order."""
-        full = rows.join(about, "node")
+        full = rows.join(about.drop("wide"), "node")
         return full.select(*by, "node", "n", "root", "sketch", *[c for c in rows.columns if c not in (*by, "node", "root")]).repartition(*by).sortWithinPartitions(*by, "node")
 
     def blocks(m: Column) -> Column:
@@ -505,8 +547,11 @@ def link_nodes(docs: DataFrame, k: int = 3, percent: int = PERCENT) -> tuple[Dat
 
     def tested(pairs: DataFrame) -> DataFrame:
         """(a, b, ok) of the pairs. Each pair's end with more pairs is its hub; at most some 64 others meet a hub's set in one group, so a set travels
-        once for each of its pairs where it isn't the hub, and once for 64 where it is. No set of a node outside the pairs is made."""
-        p = cut(pairs, temporary)
+        once for each of its pairs where it isn't the hub, and once for 64 where it is. No set of a node outside the pairs is made, and none of pairs
+        of long sets whose wide sketches, a thirtieth of the sets or less, already differ too much: these would be most of the bytes."""
+        both = pairs.join(long.toDF("a", "na", "wa"), "a", "left").join(long.toDF("b", "nb", "wb"), "b", "left")
+        screened = cut(both.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(screen(percent), "a long, b long, far boolean"), temporary)
+        p = screened.filter("not far").select("a", "b")
         degree = p.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
         p = p.join(degree.toDF("a", "da"), "a").join(degree.toDF("b", "db"), "b")
         first = (F.col("da") > F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
@@ -519,7 +564,8 @@ def link_nodes(docs: DataFrame, k: int = 3, percent: int = PERCENT) -> tuple[Dat
         texts = docs.filter("doc_id is not null").join(wanted, ["doc_id", "key"], "left_semi").unionByName(unknown)
         met = texts.select("text").mapInArrow(members, "node long, parts binary").join(roles, "node").select("hub", "part", "node", "parts")
         met = met.repartition("hub", "part").sortWithinPartitions("hub", "part")
-        return cut(met.mapInArrow(verify, "a long, b long, ok boolean"), temporary)
+        met = cut(met.mapInArrow(verify, "a long, b long, ok boolean"), temporary)
+        return met.unionByName(screened.filter("far").select("a", "b", F.lit(False).alias("ok")))
 
     def best(offers: DataFrame) -> DataFrame:
         chosen = offers.groupBy("node").agg(F.max(F.struct("degree", (-F.col("partner")).alias("p"))).alias("c")).select("node", (-F.col("c.p")).alias("partner"))
@@ -562,7 +608,7 @@ def link_nodes(docs: DataFrame, k: int = 3, percent: int = PERCENT) -> tuple[Dat
         if not new.filter("ok").isEmpty():
             roots = components(done.unionByName(new).filter("ok"))
     remove(spark, temporary)
-    return slim.drop("sketch"), roots
+    return slim.drop("sketch", "wide"), roots
 
 
 def join(docs: DataFrame, k: int = 3, percent: int = PERCENT) -> DataFrame:

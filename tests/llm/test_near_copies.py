@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -55,3 +56,42 @@ def test_lower_threshold_equals_brute_force(spark, monkeypatch, seed, often):
     want = components(rows, 5, 80)
     assert want != sorted((i, n, i) for i, n, _ in want)
     assert sorted(tuple(r) for r in jaccard.join(df, 5, 80).collect()) == want
+
+
+def long_texts(rng):
+    """Eight long texts that share a passage and little else, two of them with a near copy."""
+    line = " ".join(f"c{i}" for i in range(60))
+    texts = [" ".join(f"w{rng.randint(0, 10**9)}" for _ in range(rng.randint(1500, 2500))) + " " + line for _ in range(8)]
+    return texts + [t.replace(" w1", " v1", 20) for t in texts[:2]]
+
+
+def test_long_texts_equal_brute_force_and_hopeless_pairs_move_no_sets(spark, monkeypatch):
+    met, cut = [], jaccard.cut
+
+    def counted(df, into=None):
+        out = cut(df, into)
+        if out.columns == ["hub", "part", "node"]:
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", counted)
+    rows = list(enumerate(long_texts(random.Random(6)), 1))
+    want = components(rows, 5, 80)
+    assert [r for _, _, r in want] == [1, 2, 3, 4, 5, 6, 7, 8, 1, 2]
+    assert sorted(tuple(r) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()) == want
+    assert sum(met) == 4  # two pairs, both ends of each
+
+
+def test_wide_sketches_never_differ_in_more_bits_than_sets_do_in_shingles():
+    rng = np.random.default_rng(7)
+    for n in (400, 512, 513, 1000, 1024, 1025, 5000):
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        for y in (x[: n - n // 6], np.unique(np.concatenate([x, rng.integers(0, 2**63, n // 4, dtype=np.uint64)])), rng.integers(0, 2**63, n, dtype=np.uint64)):
+            edges = np.array([0, len(x), len(x) + len(y)])
+            a, b = jaccard.wide_sketches(np.concatenate([x, y]), edges)
+            assert [w is not None for w in (a, b)] == [len(x) > jaccard.SKETCH, len(y) > jaccard.SKETCH]
+            if a and b:
+                assert jaccard.apart(a, b) == jaccard.apart(b, a) <= len(np.setxor1d(x, y))
+                folded = np.bitwise_xor.reduce(np.frombuffer(a, np.uint8).reshape(-1, jaccard.SKETCH // 8), axis=0)
+                assert (folded.view(np.uint64) == jaccard.sketches(x, np.array([0, len(x)]))[0]).all()
+    assert jaccard.wide_sketches(np.zeros(0, np.uint64), np.array([0, 0])) == [None]
