@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, WORD_PATTERN, cut, flat, mix, remove, slices, windows, word_hashes, word_spans
+from .common import LOWER_ASCII, WORD_PATTERN, cut, flat, giving_back, mix, remove, slices, windows, word_hashes, word_spans
 
 PERCENT = 90  # a pair links when 100 * common >= percent * union
 TABLE = 1 << 16  # sets of up to so many shingles have allotments of their own
@@ -232,6 +232,7 @@ def apart(x: bytes, y: bytes) -> int:
 def screen(percent: int):
     """(a, b, far) of pairs with the sizes and wide sketches of their ends: far if these show that the two can't link."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             far = np.zeros(batch.num_rows, bool)
@@ -316,6 +317,7 @@ def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 def hubs(percent: int):
     """Of each row with near rows in its group, the one of them that has the most near rows itself: in a group of copies, the likely original."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, start in whole_groups(batches, 2):
             node, n, root, sketch = _columns(t)
@@ -335,6 +337,7 @@ def hubs(percent: int):
 def crossing(percent: int):
     """All near pairs of a cell with a row outside the bucket's largest component. Rows of a bucket cut into blocks have a side, and only pairs across sides count."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, start in whole_groups(batches, 3):
             node, n, root, sketch = _columns(t)
@@ -394,6 +397,7 @@ SLIM = "doc_id long, key long, n_shingles long, node long, sketch binary, wide b
 def _described(docs: DataFrame, k: int, extra: Callable[[np.ndarray, np.ndarray], pa.Array], kind: str, paths: list[str]) -> DataFrame:
     """(doc_id, key, n_shingles, node, sketch, wide, extra) of every row, in one pass over the texts."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, a, z, prints, edges, nodes in _sets(batches, k):
             sketch = sketches(prints, edges).view(np.uint8).reshape(z - a, -1)
@@ -452,6 +456,7 @@ def _buckets(docs: DataFrame, k: int, order: Schemes | Prefixes, paths: list[str
     """(sig, node) of the signatures that several nodes have."""
     shape = docs.sparkSession.sparkContext.broadcast(order)
 
+    @giving_back
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schemes, seen = shape.value, set()
         for number, (_, _, _, prints, edges, nodes) in enumerate(_sets(batches, k)):
@@ -523,6 +528,7 @@ def link_nodes(docs: DataFrame, k: int = 3, percent: int = PERCENT) -> tuple[Dat
     stand = cut(stand, temporary)
     unknown = docs.filter("doc_id is null")
 
+    @giving_back
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, _, _, prints, edges, nodes in _sets(batches, k):
@@ -530,6 +536,7 @@ def link_nodes(docs: DataFrame, k: int = 3, percent: int = PERCENT) -> tuple[Dat
             parts = [prints[edges[i] : edges[i + 1]].astype("<u8").tobytes() for i in new]
             yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in new], pa.int64()), pa.array(parts, pa.binary())], ["node", "parts"])
 
+    @giving_back
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, start in whole_groups(batches, 2, 1):
             found: list[tuple[int, int, bool]] = []

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, flat, slices
+from .common import crc32_of_id, flat, giving_back, slices
 
 UNKNOWN = "und"
 
@@ -250,6 +250,7 @@ def predict(docs: DataFrame, network: Network | None, lang: str = "lang_pred", s
     model = docs.sparkSession.sparkContext.broadcast(network)
     schema = docs.select(*names).schema.add(lang, "string").add(score, "double")
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model.value
         for b in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, giving_back
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -84,6 +84,7 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
 def tokenise(docs: DataFrame, capacity: int = 2048, end_id: int = 0, tokenizer: Callable[[], Callable[[str], bytes]] = Tokens) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, tail = tokenizer(), np.array([end_id], "<u4").tobytes()
         for b in batches:
@@ -267,6 +268,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, tokenizer: Call
     nth = Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32")
     p = p.withColumn("nth", F.row_number().over(nth)).join(sizes, ["length", "shard"]).withColumn("rank", F.col("before") + F.col("nth") - 1)
 
+    @giving_back
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:

@@ -25,6 +25,8 @@ from datetime import date, timedelta
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from .common import giving_back
 from pyspark.sql import types as T
 
 # The one- and two-digit country calling codes of E.164; all others have three digits.
@@ -270,6 +272,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", spans: str = "
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(spans, SPAN)])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = Masker(key, direction)
         for b in batches:
