@@ -42,6 +42,7 @@ OFTEN = 32  # shingles in more prefixes than this come last in their sets' order
 MOST = 100_000  # of them, so many travel to the tasks
 SKETCH = 512  # bits
 BLOCK = 2048  # rows of a bucket that one step compares with each other
+PAIRS = 1 << 22  # of rows that one step holds, near ones at most, beside the pairs of one block
 FEW = 500_000  # so many rows of pairs to test (of some 30 bytes) are broadcast, more are joined by shuffles
 
 
@@ -252,31 +253,43 @@ def near(i: np.ndarray, j: np.ndarray, n: np.ndarray, sketch: np.ndarray, root:
     return ok & (apart * (100 + percent) <= (r + s) * (100 - percent))
 
 
-def near_pairs(start: np.ndarray, n: np.ndarray, sketch: np.ndarray, root: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows i < j of one group (rows start[g] to start[g + 1]) that near() accepts: by their distance in small groups, in strips in large ones."""
+def near_strips(start: np.ndarray, n: np.ndarray, sketch: np.ndarray, root: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows i < j of one group (rows start[g] to start[g + 1]) that near() accepts, some at a time: by their distance in small groups, in strips in large ones."""
     size = np.diff(start)
     end = np.repeat(start[1:], size)
     small = np.flatnonzero(np.repeat(size <= 64, size))
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     lag = 1
     while len(small := small[end[small] - small > lag]):
         for a in range(0, len(small), 1 << 17):
             i = small[a : a + (1 << 17)]
-            ok = near(i, i + lag, n, sketch, root, percent)
-            found.append((i[ok], i[ok] + lag))
+            i = i[near(i, i + lag, n, sketch, root, percent)].astype(np.int32)
+            yield i, i + np.int32(lag)
         lag += 1
     for g in np.flatnonzero(size > 64):
-        here = np.arange(start[g], start[g + 1])
+        here = np.arange(start[g], start[g + 1], dtype=np.int32)
         for a in range(0, len(here), 256):
             rest = here[a:]
             x, y = np.nonzero(near(rest[:256, None], rest[None, :], n, sketch, root, percent))
             up = y > x
-            found.append((rest[x[up]], rest[y[up]]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            yield rest[x[up]], rest[y[up]]
+
+
+def near_pairs(start: np.ndarray, n: np.ndarray, sketch: np.ndarray, root: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All of near_strips() in one."""
+    found = [(np.zeros(0, np.int32), np.zeros(0, np.int32)), *near_strips(start, n, sketch, root, percent)]
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+def portions(start: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of groups with at most `most` pairs of rows (one group at least): where all rows are near, a table of many large groups has too many to hold."""
+    pairs = np.cumsum(np.diff(start) ** 2 // 2)
+    g, before = 0, 0
+    while g < len(pairs):
+        z = max(g + 1, int(np.searchsorted(pairs, before + most, side="right")))
+        yield g, z
+        g, before = z, int(pairs[z - 1])
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, least: int = 1 << 15) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """The rows of sorted batches again, as tables that end where a group (the first `keys` columns) does, and the n + 1 edges of their groups."""
     held: list[pa.RecordBatch] = []
@@ -321,15 +334,20 @@ def hubs(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, start in whole_groups(batches, 2):
             node, n, root, sketch = _columns(t)
-            i, j = near_pairs(start, n, sketch, root, percent)
-            degree = np.bincount(i, minlength=len(n)) + np.bincount(j, minlength=len(n))
-            x, y = np.concatenate([i, j]), np.concatenate([j, i])
-            order = np.lexsort((node[y], -degree[y], x))
-            x, y = x[order], y[order]
-            first = np.ones(len(x), bool)
-            first[1:] = x[1:] != x[:-1]
-            x, y = x[first], y[first]
-            yield pa.RecordBatch.from_arrays([pa.array(t.column("sig").to_numpy()[x]), pa.array(node[x]), pa.array(node[y]), pa.array(degree[y])], ["sig", "node", "partner", "degree"])
+            sig = t.column("sig").to_numpy()
+            for g, z in portions(start, PAIRS):
+                a, rows = start[g], slice(start[g], start[z])
+                here = node[rows]
+                i, j = near_pairs(start[g : z + 1] - a, n[rows], sketch[rows], root[rows], percent)
+                degree = np.bincount(i, minlength=len(here)) + np.bincount(j, minlength=len(here))
+                order = np.lexsort((here, -degree))
+                rank, first = np.empty(len(here), np.int64), np.full(len(here), len(here))
+                rank[order] = np.arange(len(here))
+                np.minimum.at(first, i, rank[j])
+                np.minimum.at(first, j, rank[i])
+                x = np.flatnonzero(first < len(here))
+                y = order[first[x]]
+                yield pa.RecordBatch.from_arrays([pa.array(sig[rows][x]), pa.array(here[x]), pa.array(here[y]), pa.array(degree[y])], ["sig", "node", "partner", "degree"])
 
     return run
 
@@ -339,13 +357,23 @@ def crossing(percent: int):
 
     @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def distinct(pairs: list[np.ndarray]) -> pa.RecordBatch:
+            both = np.unique(np.concatenate(pairs), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
         for t, start in whole_groups(batches, 3):
             node, n, root, sketch = _columns(t)
-            i, j = near_pairs(start, n, sketch, root, percent)
             side, minor = t.column("side").to_numpy(), t.column("minor").to_numpy()
-            ok = (minor[i] | minor[j]) & ((side[i] == 0) | (side[i] != side[j]))
-            both = np.unique(np.stack([np.maximum(node[i[ok]], node[j[ok]]), np.minimum(node[i[ok]], node[j[ok]])], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            held, rows = [np.zeros((0, 2), np.int64)], 0
+            for i, j in near_strips(start, n, sketch, root, percent):
+                ok = (minor[i] | minor[j]) & ((side[i] == 0) | (side[i] != side[j]))
+                i, j = node[i[ok]], node[j[ok]]
+                held.append(np.stack([np.maximum(i, j), np.minimum(i, j)], 1))
+                rows += len(i)
+                if rows >= PAIRS // 4:
+                    yield distinct(held)
+                    held, rows = held[:1], 0
+            yield distinct(held)
 
     return run
 

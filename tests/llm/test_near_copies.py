@@ -2,8 +2,10 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -95,3 +97,26 @@ def test_wide_sketches_never_differ_in_more_bits_than_sets_do_in_shingles():
                 folded = np.bitwise_xor.reduce(np.frombuffer(a, np.uint8).reshape(-1, jaccard.SKETCH // 8), axis=0)
                 assert (folded.view(np.uint64) == jaccard.sketches(x, np.array([0, len(x)]))[0]).all()
     assert jaccard.wide_sketches(np.zeros(0, np.uint64), np.array([0, 0])) == [None]
+
+
+def dense(groups: int, size: int, **columns):
+    """Sorted rows of groups in which all rows are near each other, a batch for each group."""
+    nodes, sketch = np.arange(1, size + 1) * 7 % 10007, bytes(jaccard.SKETCH // 8)
+    for g in range(groups):
+        shared = {"node": np.sort(nodes), "n": np.full(size, 300, np.int32), "root": np.arange(size), "sketch": [sketch] * size}
+        yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in ({"sig": np.full(size, g)} | {k: np.resize(v, size) for k, v in columns.items()} | shared).items()})
+
+
+def test_many_groups_of_copies_take_bounded_memory():
+    """All near pairs of a table of such groups took gigabytes (20 groups of 1600 rows: 2.7 GB)."""
+    tracemalloc.start()
+    hubs = pa.Table.from_batches(list(jaccard.hubs(80)(dense(64, 512, block=np.int32(0)))))
+    crossing = [b.num_rows for b in jaccard.crossing(80)(dense(64, 512, xb=np.int32(0), yb=np.int32(0), side=np.int32(0), minor=np.array([True])))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Every node is near all 511 others; the least is the hub of the rest, and has the second as its own.
+    least, second = np.sort(np.arange(1, 513) * 7 % 10007)[:2]
+    assert hubs.num_rows == 64 * 512 and set(hubs.column("degree").to_pylist()) == {511}
+    assert all(p == (second if v == least else least) for v, p in zip(hubs.column("node").to_pylist(), hubs.column("partner").to_pylist(), strict=True))
+    assert 512 * 511 // 2 <= sum(crossing) <= 64 * 512 * 511 // 2
+    assert peak < 300e6
