@@ -61,6 +61,10 @@ class BitWriter:
         self.n += n
 
 
+#: The 15 bits of each number in reverse; no code is longer.
+REVERSED = sum(((np.arange(1 << 15) >> k) & 1) << (14 - k) for k in range(15))
+
+
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """The codes of canonical prefix codes, bits reversed for a stream that starts with the least significant."""
     codes = np.zeros(len(lengths), np.int64)
@@ -74,11 +78,7 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     taken = np.cumsum(1 << (top - sizes)) - (1 << (top - sizes))
     codes[order] = taken >> (top - sizes)
     # Reverse each within its own length.
-    c, out = codes[order], np.zeros(len(order), np.int64)
-    for _ in range(top):
-        out = out << 1 | c & 1
-        c = c >> 1
-    codes[order] = out >> (top - sizes)
+    codes[order] = REVERSED[taken >> (top - sizes)] >> (15 - sizes)
     return codes
 
 
@@ -96,13 +96,11 @@ class Code:
             sizes = lengths[used].astype(np.int64)
             if int((1 << (top - sizes)).sum()) != 1 << top:
                 raise ValueError("a prefix code is not complete")
-            codes = canonical(lengths)[used]
-            self.symbol, self.length = np.zeros(1 << top, np.int64), np.zeros(1 << top, np.int64)
-            for n in np.unique(sizes):
-                here = sizes == n
-                at = (codes[here][:, None] + (np.arange(1 << (top - n)) << n)[None, :]).ravel()
-                self.symbol[at] = np.repeat(used[here], 1 << (top - n))
-                self.length[at] = n
+            # In the order of their codes the symbols take up the table one after another, its places read with their first bit highest.
+            order = np.lexsort((used, sizes))
+            symbol, length = used[order], sizes[order]
+            at = np.repeat(np.arange(len(order)), 1 << (top - length))[REVERSED[: 1 << top] >> (15 - top)]
+            self.symbol, self.length = symbol[at], length[at]
         self.single = self.bits == 0
         self.lists: tuple[list, list] | None = None
 
@@ -203,6 +201,23 @@ def _prefix_values(symbol: np.ndarray, at: np.ndarray, word: np.ndarray) -> tupl
     return np.where(symbol < 4, symbol, ((2 + (symbol & 1)) << extra) + bits) + 1, at + extra
 
 
+def _follow(step: np.ndarray, p: int, limit: int) -> np.ndarray:
+    """The positions below `limit` that are reached from p on, where `step` has the next of each. Four steps are taken at once, as only these are
+    followed one by one."""
+    two = step.take(step)
+    four = two.take(two)
+    hop, at = memoryview(four), []
+    while p < limit:
+        at.append(p)
+        p = hop[p]
+    one = np.array(at, np.int64)
+    out = np.empty((len(one), 4), np.int64)
+    out[:, 0], out[:, 1], out[:, 2] = one, step[one], two[one]
+    out[:, 3] = step[out[:, 2]]
+    out = out.ravel()
+    return out[: int(np.searchsorted(out, limit))]
+
+
 def _events(r: BitReader, codes: list[Code], width: int, n: int) -> np.ndarray | None:
     """All pixels of one code group without a colour cache: for each bit position the pixel or back-reference that would start there,
     and where the next would; from the first on, only those that do are followed. Back-references are then copied in order."""
@@ -227,8 +242,7 @@ def _events(r: BitReader, codes: list[Code], width: int, n: int) -> np.ndarray |
             w = window[step] if k else window
             step += c.length.astype(np.int32).take(w & np.uint32((1 << c.bits) - 1), mode="clip")
             np.minimum(step, end, out=step)
-    at: list[int] | np.ndarray
-    p, copies = r.at & 7, None
+    limit, copies = min(8 * (len(r.data) - first), end), None
     if refers:
         kind = green.symbol.astype(np.int32).take(window & np.uint32((1 << green.bits) - 1), mode="clip")
         where = np.flatnonzero(kind > 255)
@@ -238,25 +252,25 @@ def _events(r: BitReader, codes: list[Code], width: int, n: int) -> np.ndarray |
         step[where] = np.minimum(q, end)
         made = np.ones(len(window), np.int32)
         made[where] = lengths
-        hop, count, at, total = memoryview(step), memoryview(made), [], 0
-        while total < n:
-            at.append(p)
-            total += count[p]
-            p = hop[p]
-        if total > n:
+        at = _follow(step, r.at & 7, limit)
+        upto = np.cumsum(made[at], dtype=np.int64)
+        k = int(np.searchsorted(upto, n))
+        if k == len(at):
+            raise ValueError("the stream ends early")
+        if upto[k] > n:
             raise ValueError("a back-reference runs over the image")
-        at = np.array(at, np.int64)
-        place = np.cumsum(made[at]) - made[at]
+        at = at[: k + 1]
+        p = int(step[at[-1]])
+        place = upto[: k + 1] - made[at]
         is_copy = kind[at] > 255
         found = np.searchsorted(where, at[is_copy])
         copies = list(zip(place[is_copy].tolist(), lengths[found].tolist(), back[found].tolist(), strict=True))
         at, place = at[~is_copy], place[~is_copy]
     else:
-        hop, at = memoryview(step), [0] * n
-        for i in range(n):
-            at[i] = p
-            p = hop[p]
-        at = np.array(at, np.int64)
+        at = _follow(step, r.at & 7, limit)[:n]
+        if len(at) < n:
+            raise ValueError("the stream ends early")
+        p = int(step[at[-1]])
     value = np.zeros(len(at), np.uint32)
     for c, shift in ((green, 8), (red, 16), (blue, 0), (alpha, 24)):
         if c.single:
