@@ -44,6 +44,8 @@ SKETCH = 512  # bits
 BLOCK = 2048  # rows of a bucket that one step compares with each other
 PAIRS = 1 << 22  # of rows that one step holds, near ones at most, beside the pairs of one block
 FEW = 500_000  # so many rows of pairs to test (of some 30 bytes) are broadcast, more are joined by shuffles
+ONE_TASK = 200_000  # so many links (of 16 bytes) are connected in one task, more by rounds of shuffles
+LINKS = 1 << 20  # that a task connects at once before them; not under ONE_TASK
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -387,9 +389,52 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Record
             yield b, a, z, prints, edges, [node_of(prints[edges[i] : edges[i + 1]]) for i in range(z - a)]
 
 
+def connected(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes of the links, and the least node that each is connected with."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(node))
+    while len(x):
+        u, v = root[x], root[y]
+        apart = u != v
+        x, y, u, v = x[apart], y[apart], u[apart], v[apart]
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (root[root] != root).any():
+            root = root[root]
+    return node, node[root]
+
+
+def forest(every: bool):
+    """A task's links as those of each node to the least one it is connected with there; with `every`, least nodes have one to themselves."""
+
+    @giving_back
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            a, b = connected(*(np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("a", "b")))
+            keep = np.ones(len(a), bool) if every else a != b
+            return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+        held, rows = [], 0
+        for x in batches:
+            held.append(x)
+            rows += x.num_rows
+            if rows >= LINKS:
+                yield joined(held)
+                held, rows = [], 0
+        if rows:
+            yield joined(held)
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the links (a, b): large star and small star in turn until nothing moves."""
+    """(node, root) of every node of the links (a, b). Each task connects its own links first. What is left is connected in one task if it is
+    little, as each round of shuffles costs the driver dozens of stages; else by large star and small star in turn until nothing moves."""
     spark, old, new = edges.sparkSession, [], []
+    e = cut(edges.select("a", "b").mapInArrow(forest(False), "a long, b long"), old)
+    if e.count() <= ONE_TASK:
+        roots = cut(e.coalesce(1).mapInArrow(forest(True), "a long, b long"))
+        remove(spark, old)
+        return roots.toDF("node", "root")
 
     def both(e: DataFrame) -> DataFrame:
         return e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -406,7 +451,9 @@ def components(edges: DataFrame) -> DataFrame:
     def down(e: DataFrame) -> DataFrame:
         return e.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    e = cut(down(edges), old)
+    e = cut(down(e), new)
+    remove(spark, old)
+    old, new = new, old
     while True:
         # Done when every node has one parent and no parent has one itself.
         parents = e.groupBy("a").agg(F.count("*").alias("n"), F.lit(1).alias("up")).unionByName(e.select(F.col("b").alias("a"), F.lit(0).cast("long").alias("n"), F.lit(2).alias("up")).distinct())

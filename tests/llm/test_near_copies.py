@@ -120,3 +120,46 @@ def test_many_groups_of_copies_take_bounded_memory():
     assert all(p == (second if v == least else least) for v, p in zip(hubs.column("node").to_pylist(), hubs.column("partner").to_pylist(), strict=True))
     assert 512 * 511 // 2 <= sum(crossing) <= 64 * 512 * 511 // 2
     assert peak < 300e6
+
+
+def links(rng):
+    """A path in mixed order, a star whose hub is its largest node, a cycle, and links at random; with the least node of each node's component."""
+    path, ring = rng.sample(range(10_000, 20_000), 300), rng.sample(range(20_000, 30_000), 50)
+    pairs = [*zip(path, path[1:]), *((40_000, 30_000 + i) for i in range(200)), *zip(ring, ring[1:] + ring[:1])]
+    pairs += [tuple(rng.sample(range(2000), 2)) for _ in range(1200)]
+    root = {x: x for p in pairs for x in p}
+
+    def least(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((least(a), least(b)))
+        root[b] = a
+    rng.shuffle(pairs)
+    return [(max(p), min(p)) for p in pairs], sorted((x, least(x)) for x in root)
+
+
+@pytest.mark.parametrize("at_once", [200_000, 100])
+def test_components_equal_brute_force_in_one_task_and_by_rounds(spark, monkeypatch, at_once):
+    monkeypatch.setattr(jaccard, "ONE_TASK", at_once)
+    pairs, want = links(random.Random(3))
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    assert sorted(tuple(r) for r in jaccard.components(edges).collect()) == want
+
+
+def test_components_of_no_links(spark):
+    assert jaccard.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_few_links_take_few_jobs(spark):
+    """What the driver keeps of jobs, stages and tasks is its memory; shuffles to connect a few thousand links were most of them."""
+    pairs, want = links(random.Random(4))
+    edges = jaccard.cut(spark.createDataFrame(pairs, "a long, b long").repartition(7))
+    spark.sparkContext.setJobGroup("few links", "")
+    try:
+        assert len(jaccard.components(edges).collect()) == len(want)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links")) <= 6
